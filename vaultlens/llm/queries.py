@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, token_store, topk, url_reputation
+from . import chat_format, mixing, simhash, token_store, topk, url_reputation
 from .shared import new_folder
 
 
@@ -65,12 +65,19 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(hostile)))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint (3-word shingles) and the component (links of up to 2 bits) of every document."""
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=2)
+    return near.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_exact_topk": op4_exact_topk,
     "op5_source_mix": op5_source_mix,
     "op7_url_reputation": op7_url_reputation,
     "op9_chat_windows": op9_chat_windows,
+    "op10_simhash": op10_simhash,
 }
 ORACLE: dict[str, str] = {
     "op4_exact_topk": topk.SQL,
