@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, simhash, token_store, topk, url_reputation
+from . import chat_format, decontam, mixing, simhash, token_store, topk, url_reputation
 from .shared import new_folder
 
 
@@ -65,6 +65,12 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(hostile)))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that stand in a 10-word window of the benchmark, and the items that have them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.digests(decontam.find_matches(docs, table(spark, sf_dir, "benchmark"), window=10, keep_text=False))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint (3-word shingles) and the component (links of up to 2 bits) of every document."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=2)
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_exact_topk": op4_exact_topk,
     "op5_source_mix": op5_source_mix,
+    "op6_decontamination": op6_decontamination,
     "op7_url_reputation": op7_url_reputation,
     "op9_chat_windows": op9_chat_windows,
     "op10_simhash": op10_simhash,
