@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import slices
 from .hashing import BASE, SECOND_BASE, U64, Powers, byte_table, mixed
 
 SHARD_BYTES = 4_000_000
@@ -165,28 +166,6 @@ def longest_matches(words: Words, test: TestBlock) -> tuple[np.ndarray, np.ndarr
     return test.item[suffix], at, length
 
 
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and where each row's begin; nulls are empty."""
-    column = column.fill_null("") if column.null_count else column
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def _shards(batch: pa.RecordBatch, name: str, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    column = batch.column(batch.schema.get_field_index(name))
-    data, offsets = _texts(column)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-        yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
-
-
 def found_in(data: np.ndarray, offsets: np.ndarray, test: TestBlock, p: Powers) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """For each text, its number of words and its matches (item group, first word, length)."""
     words = words_of(data, offsets, p)
@@ -235,7 +214,7 @@ def _search(shared, shard_bytes: int, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test, p = shared.value, Powers(BASE)
         for batch in batches:
-            for rows, data, offsets in _shards(batch, "text", shard_bytes):
+            for rows, data, offsets in slices(batch, "text", shard_bytes):
                 found = found_in(data, offsets, test, p)
                 before = rows.column(rows.schema.get_field_index("matches")).to_pylist()
                 new = [(old or []) + [{"item_ids": test.ids[i], "first_word": a, "n_words": n} for i, a, n in own] for old, (_, own) in zip(before, found, strict=True)]

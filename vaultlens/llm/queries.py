@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, mixing, simhash, token_store, topk, url_reputation
+from . import chat_format, decontam, mixing, simhash, suffix_dedup, token_store, topk, url_reputation
 from .shared import new_folder
 
 
@@ -71,6 +71,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.find_matches(docs, table(spark, sf_dir, "benchmark"), window=10, keep_text=False))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes that a repeated 400-byte string covers."""
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint (3-word shingles) and the component (links of up to 2 bits) of every document."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=2)
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_decontamination": op6_decontamination,
     "op7_url_reputation": op7_url_reputation,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_windows": op9_chat_windows,
     "op10_simhash": op10_simhash,
 }
