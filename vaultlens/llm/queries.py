@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, mixing, simhash, suffix_dedup, token_store, topk, url_reputation
+from . import chat_format, decontam, mixing, quality_fm, simhash, suffix_dedup, token_store, topk, url_reputation
 from .shared import new_folder
 
 
@@ -22,6 +22,18 @@ def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Documents that score less are rejected.
+GOOD_ENOUGH = 0.3
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    machine = quality_fm.fit(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
+    scored = quality_fm.score(docs, machine)
+    return scored.select("doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_ENOUGH).cast("int").alias("predicted"))
+
+
 #: The tokenizer of the contract, and the id that ends every document.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -83,6 +95,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_token_store": op3_token_store,
     "op4_exact_topk": op4_exact_topk,
     "op5_source_mix": op5_source_mix,
