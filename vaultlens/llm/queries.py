@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, mixing, quality_fm, simhash, suffix_dedup, token_store, topk, url_reputation
+from . import chat_format, decontam, license_scan, mixing, quality_fm, simhash, suffix_dedup, token_store, topk, url_reputation
 from .shared import new_folder
 
 
@@ -34,6 +34,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_ENOUGH).cast("int").alias("predicted"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or its directory's; a document's path is source/lang/doc_id.txt."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan_licences(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+
+
 #: The tokenizer of the contract, and the id that ends every document.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -96,6 +102,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_license_scan": op2_license_scan,
     "op3_token_store": op3_token_store,
     "op4_exact_topk": op4_exact_topk,
     "op5_source_mix": op5_source_mix,

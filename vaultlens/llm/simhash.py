@@ -162,5 +162,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, distance: int = 2, crowd
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, *, words: int = 5, distance: int = 3) -> DataFrame:
+    """docs without the documents that a component keeps another of: the one with the least id stays.
+
+    Rows that repeat that id are thinned to one, the least by a hash of its text.
+    """
+    near = near_duplicates(docs, words=words, distance=distance)
+    dropped = near.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    # ids that stand in several rows; without any, which is the rule, nothing more is needed
+    again = near.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.col("doc_id").isNotNull()).select("doc_id").checkpoint()
+    kept = docs.join(dropped.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    several = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
+    least = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row"))
+    return single.union(least.select("row.*"))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
