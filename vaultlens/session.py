@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +28,17 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g", **e
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def use_shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, in use for checkpoints; only a local session may go without and gets one."""
+    context = spark.sparkContext._jsc.sc()
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir().isDefined():
+        return place or context.getCheckpointDir().get()
+    if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set")
+        place = "file://" + tempfile.mkdtemp(prefix="vaultlens-")
+    spark.sparkContext.setCheckpointDir(place)
+    return place
