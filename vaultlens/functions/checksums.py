@@ -42,7 +42,7 @@ def inn_valid(value: Column) -> Column:
 
 def luhn_valid(value: Column) -> Column:
     own = digits(value)
-    return F.when(F.length(own).between(13, 19), F.luhn_check(own)).otherwise(value.isNull() & F.lit(None))
+    return F.when(F.length(own).between(13, 19), F.call_function("luhn_check", own)).otherwise(value.isNull() & F.lit(None))
 
 
 def bik_valid(value: Column) -> Column:

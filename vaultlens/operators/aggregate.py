@@ -52,12 +52,12 @@ def scan_status(extraction: Column, n_errors: Column) -> Column:
 def run_metrics(verdicts: DataFrame) -> DataFrame:
     """(kind, name, n): files by format and level, occurrences by category, files with detections and errors.  One pass."""
     base = verdicts.select("format", "level", "counts", (F.size("final") > 0).cast("int").alias("found"), (F.col("scan_status") == "error").cast("int").alias("failed"))
+    one = lambda kind, name, n: F.struct(F.lit(kind).alias("kind"), name.alias("name"), n.cast("bigint").alias("n"))
     pairs = F.concat(
         F.array(
-            F.struct(F.lit("format").alias("kind"), F.col("format").alias("name"), F.lit(1).cast("bigint").alias("n")), F.struct(F.lit("level"), F.col("level"), F.lit(1).cast("bigint")),
-            F.struct(F.lit("files"), F.lit("processed"), F.lit(1).cast("bigint")), F.struct(F.lit("files"), F.lit("with_detections"), F.col("found").cast("bigint")),
-            F.struct(F.lit("files"), F.lit("with_errors"), F.col("failed").cast("bigint")),
+            one("format", F.col("format"), F.lit(1)), one("level", F.col("level"), F.lit(1)), one("files", F.lit("processed"), F.lit(1)),
+            one("files", F.lit("with_detections"), F.col("found")), one("files", F.lit("with_errors"), F.col("failed")),
         ),
-        F.transform(F.map_entries("counts"), lambda e: F.struct(F.lit("category").alias("kind"), e["key"].alias("name"), e["value"].alias("n"))),
+        F.transform(F.map_entries("counts"), lambda e: one("category", e["key"], e["value"])),
     )
     return base.select(F.explode(pairs).alias("p")).select("p.*").groupBy("kind", "name").agg(F.sum("n").alias("n"))
