@@ -11,10 +11,11 @@ One document is read by its block's index alone: the block is found by its range
 others), one frame is cut out by its offset and decompressed.
 
 The dictionary is trained on the serialized ids of at most ``sample_docs`` documents of at most ``sample_chars``
-characters, chosen by a hash of their ids; it only affects how small frames get.
+characters, the first that are found; it only affects how small frames get.
 
-Encoding: a word (a run without ASCII white space) has the same ids wherever it stands, for tokenizers that normalise
-and split at white space, as those with word ends do; so words are encoded once and remembered, in a bounded table.
+Encoding: a word (a run without ASCII white space) has the same ids wherever it stands, for tokenizers that lower case,
+normalise and split at white space, as those with word ends do; so words are encoded once and remembered, in a bounded
+table.
 ``whole=True`` hands whole texts to the tokenizer instead, for any other kind.
 
 Defined results: null text is empty and has the end id alone; rows go by doc_id (null first), then a hash of the text,
@@ -24,9 +25,9 @@ each row being a document; an empty table makes a store without blocks; other co
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrow_text import slices
+
 BLOCK_BYTES = 2_000_000
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 600_000
+#: A full stop or comma that ends a word: a piece of its own after a letter or digit.
+MARK = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \n])")
 BLOCKS = (
     "part int, block int, first_doc long, last_doc long, n_docs int, n_tokens long, before long, "
     "doc_ids binary, has_id binary, counts binary, offsets binary, dict_sha256 string, payload binary"
@@ -53,7 +58,7 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -63,65 +68,87 @@ class WordEncoder:
         self.closes[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
         self.whole, self.most = whole, most
         self.known: dict[bytes, bytes] = {}
+        # the same model behind a plain split: for words of lower-case letters in normal form, which are one piece each
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _encode(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that aren't known yet."""
-        plain: dict[str, list[tuple[bytes, bytes]]] = {}  # letters only -> the words made of them and the mark after
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of lower-case words of letters only."""
+        out: dict[bytes, bytes] = {}
+        width = self.dtype.itemsize
+        for i in range(0, len(words), 1_024):
+            some = words[i : i + 1_024]
+            ids = np.array(self.letters.encode_batch_fast([b" ".join(some).decode("utf-8")], add_special_tokens=False)[0].ids, self.dtype)
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * width
+            if len(ends) == len(some) and ends[-1] == len(ids) * width:
+                packed = ids.tobytes()
+                out |= zip(some, map(packed.__getitem__, map(slice, np.r_[0, ends[:-1]].tolist(), ends.tolist())), strict=True)
+            else:  # not one piece a word after all
+                out |= self._whole(some)
+        return out
+
+    def _whole(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
+        return {word: self._pack(e.ids) for word, e in zip(words, found, strict=True)}
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of different words that aren't known yet."""
+        from unicodedata import is_normalized
+
+        letters: list[bytes] = []
         other: list[bytes] = []
-        marks = {b".": None, b",": None}
         for word in words:
-            mark = word[-1:] if word[-1:] in marks else b""
-            core = (word[:-1] if mark else word).decode("utf-8")
-            low = core.lower()
-            if low.isalpha() and core.isalpha():
-                plain.setdefault(low if low.isascii() else core, []).append((word, mark))
-            else:
-                other.append(word)
-        out: dict[bytes, bytes] = {}
-        for mark in marks:
-            marks[mark] = self.known.get(mark) or self._pack(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids)
-        cores = list(plain)
-        for i in range(0, len(cores), 512):
-            some = cores[i : i + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                parts, at = [], 0
-                for end in ends.tolist():
-                    parts.append(ids[at:end].tobytes())
-                    at = end
-            else:  # not one piece a word: each on its own
-                parts = [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            for core, part in zip(some, parts, strict=True):
-                for word, mark in plain[core]:
-                    out[word] = part + marks[mark] if mark else part
+            if word.isalpha() and word.islower():  # of bytes: ASCII only
+                letters.append(word)
+                continue
+            if not word.isascii():
+                text = word.decode("utf-8")
+                # one piece of letters that lower case and the normal form leave as they are
+                if text.isalpha() and text.lower() == text and is_normalized("NFC", text):
+                    letters.append(word)
+                    continue
+            other.append(word)
+        out = self._letters(letters)
         for i in range(0, len(other), 512):
-            some = other[i : i + 512]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)
-            out |= {word: self._pack(e.ids) for word, e in zip(some, found, strict=True)}
+            out |= self._whole(other[i : i + 512])
         return out
 
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        """The words of a text, in lower case where that can't make a special token; bytes split at ASCII white space."""
+        if b"<|" not in text:
+            text = MARK.sub(rb" \g<0>", text.lower())
+        return text.split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The serialized ids of each text, the end id included."""
         if self.whole:
             found = (self.tokenizer.encode_batch_fast([t.decode("utf-8")], add_special_tokens=False)[0].ids for t in texts)
             return [self._pack(ids) + self.end for ids in found]
-        split = [t.split() for t in texts]  # bytes split at ASCII white space only
+        split = list(map(self._words, texts))
         known = self.known
-        new = self._encode({w for words in split for w in words if w not in known})
-        if len(known) + len(new) <= self.most:
+        different = set().union(*split)
+        here = {w: known[w] for w in different if w in known}
+        new = self._encode(list(different.difference(here)))
+        here |= new
+        if len(known) < self.most:
             known |= new
-            return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
-        get = known.get
-        return [b"".join([get(w) or new.get(w, b"") for w in words]) + self.end for words in split]
+        return [b"".join(map(here.__getitem__, words)) + self.end for words in split]
 
 
-@cache
 def encoder(path: str, end_id: int, whole: bool) -> WordEncoder:
-    return WordEncoder(path, end_id, whole)
+    """The process's encoder: functions come to the workers anew with every task, modules stay."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_vaultlens_process", types.ModuleType("_vaultlens_process")).__dict__
+    key = ("encoder", path, end_id, whole)
+    if key not in kept:
+        kept[key] = WordEncoder(path, end_id, whole)
+    return kept[key]
 
 
 def train_dictionary(samples: list[bytes], size: int = 65_536) -> bytes:
@@ -141,16 +168,9 @@ def _dictionary(data: bytes):
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def _runs(rows: Iterator[tuple[int | None, bytes | None]], most: int) -> Iterator[list[tuple[int | None, bytes]]]:
-    run, held = [], 0
-    for doc_id, text in rows:
-        run.append((doc_id, text or b""))
-        held += len(run[-1][1])
-        if held >= most or len(run) >= 20_000:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+def _texts(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[list[int | None], list[bytes]]:
+    own, cuts = data.tobytes(), offsets.tolist()
+    return rows.column(0).to_pylist(), [own[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def write_store(
@@ -162,7 +182,7 @@ def write_store(
 
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chosen = plain.where(F.length("text") <= sample_chars).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_docs)
+    chosen = plain.where((F.length("text") > 0) & (F.length("text") <= sample_chars)).limit(sample_docs)
     own = encoder(tokenizer, end_id, whole)
     data = train_dictionary(own.encode([r["text"].encode() for r in chosen.collect()]))
     sha = hashlib.sha256(data).hexdigest()
@@ -174,18 +194,21 @@ def write_store(
 
         part, before, block = TaskContext.get().partitionId(), 0, 0
         words = encoder(tokenizer, end_id, whole)
-        frames = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(data), write_checksum=False)
-        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True))
-        for run in _runs(rows, block_bytes):
-            ids = words.encode([text for _, text in run])
+        shared = _dictionary(data)
+        if shared:
+            shared.precompute_compress(level=level)
+        frames = zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=False)
+        runs = (_texts(*run) for batch in batches for run in slices(batch, "text", block_bytes))
+        for docs_, texts in runs:
+            ids = words.encode(texts)
             packed = [frames.compress(x) for x in ids]
             counts = np.array([len(x) // width for x in ids], "<u4")
-            names = np.array([d or 0 for d, _ in run], "<i8")
-            known = [d for d, _ in run if d is not None]
+            names = np.array([d or 0 for d in docs_], "<i8")
+            known = [d for d in docs_ if d is not None]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip((
-                    part, block, min(known, default=None), max(known, default=None), len(run), int(counts.sum()), before, names.tobytes(),
-                    np.array([d is not None for d, _ in run], "u1").tobytes(), counts.tobytes(),
+                    part, block, min(known, default=None), max(known, default=None), len(docs_), int(counts.sum()), before, names.tobytes(),
+                    np.array([d is not None for d in docs_], "u1").tobytes(), counts.tobytes(),
                     np.cumsum([0, *map(len, packed)]).astype("<u8").tobytes(), sha, b"".join(packed),
                 ), BLOCK_SCHEMA.types, strict=True)], schema=BLOCK_SCHEMA)
             before += int(counts.sum())
