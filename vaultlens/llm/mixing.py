@@ -137,7 +137,7 @@ def _with_plan(left: DataFrame, right: DataFrame, few: bool, salts: int) -> Data
     if few:
         return left.alias("l").join(F.broadcast(right.alias("r")), _same(), "left")
     left = left.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.alias("l").join(right.alias("r"), _same() & (F.col("l.__salt") == F.col("r.__salt")), "left")
 
 

@@ -93,7 +93,7 @@ def host_reputation(
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     used = F.col("n") > 0
-    rate = suffixes.agg(F.coalesce(F.sum("x") / F.sum("n"), F.lit(0.5)).alias("rate"))
+    rate = suffixes.agg(F.coalesce(F.try_divide(F.sum("x"), F.sum("n")), F.lit(0.5)).alias("rate"))
     # one row of the three strengths and the global rate; a join with one row is no growth
     prior = rate
     for level, name in ((suffixes, "k_suffix"), (domains, "k_domain"), (hosts, "k_host")):
