@@ -44,7 +44,8 @@ def test_xlsx():
 
 
 def test_text_formats():
-    assert extract_bytes("csv", "a;b\n1;2\n4;5\n6;7\n3\n".encode()).chunks == ["a: 1 | b: 2", "a: 4 | b: 5", "a: 6 | b: 7", "3"]
+    assert extract_bytes("csv", "a;b;c\n1;2;3\n4;5;6\n7;8;9\n".encode()).chunks == ["a: 1 | b: 2 | c: 3", "a: 4 | b: 5 | c: 6", "a: 7 | b: 8 | c: 9"]
+    assert extract_bytes("csv", b"a,b\n1,2\n3,4\n5,6\n7\n").chunks[-2:] == ["a: 5 | b: 6", "7"]
     x = extract_bytes("csv", b"a,b\n" + b"1,2\n" * 5, most=3)
     assert len(x.chunks) == 3 and x.rows == 4
     assert extract_bytes("json", b'{"a": {"b": [1, null, "x"]}, "c": true}').chunks == ["a.b[0]: 1", "a.b[2]: x", "c: True"]
