@@ -103,10 +103,10 @@ def _once(main: np.ndarray, side: np.ndarray, twice: np.ndarray) -> tuple[np.nda
 
 
 def _by_bucket(kind: int, unit: int, main: np.ndarray, side: np.ndarray, flags: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Digits in order of their hash, cut where the leading bits name another bucket."""
-    order = np.argsort(main, kind="stable")
-    main, side, flags = main[order], side[order], flags[order]
-    where = ((main >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    """Digits by bucket.  Anchors are least hashes, so their own leading bits are uneven: the bucket is of their hash."""
+    where = ((mixed(main) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    main, side, flags, where = main[order], side[order], flags[order], where[order]
     cuts = np.flatnonzero(np.diff(where)) + 1
     for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(main)].tolist(), strict=True):
         if b > a:
