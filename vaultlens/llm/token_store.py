@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from .arrow_text import slices
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 4_000_000
 REMEMBERED_WORDS = 600_000
-#: A full stop or comma that ends a word: a piece of its own after a letter or digit.
-MARK = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \n])")
+#: ASCII marks: a run of them at the end of a word is a piece of its own after a letter.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCKS = (
     "part int, block int, first_doc long, last_doc long, n_docs int, n_tokens long, before long, "
     "doc_ids binary, has_id binary, counts binary, offsets binary, dict_sha256 string, payload binary"
@@ -68,6 +68,7 @@ class WordEncoder:
         self.closes[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
         self.whole, self.most = whole, most
         self.known: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
         # the same model behind a plain split: for words of lower-case letters in normal form, which are one piece each
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -98,20 +99,35 @@ class WordEncoder:
         """The ids of different words that aren't known yet."""
         from unicodedata import is_normalized
 
-        letters: list[bytes] = []
+        known, tails = self.known, self.tails
+        plain: list[bytes] = []
+        marked: list[tuple[bytes, bytes, bytes]] = []  # word, its letters, the marks after them
         other: list[bytes] = []
         for word in words:
             if word.isalpha() and word.islower():  # of bytes: ASCII only
-                letters.append(word)
+                plain.append(word)
                 continue
-            if not word.isascii():
-                text = word.decode("utf-8")
+            core = word.rstrip(MARKS)
+            if core.isalpha() and core.islower():
+                marked.append((word, core, word[len(core) :]))
+                continue
+            if core and not core.isascii():
+                text = core.decode("utf-8")
                 # one piece of letters that lower case and the normal form leave as they are
                 if text.isalpha() and text.lower() == text and is_normalized("NFC", text):
-                    letters.append(word)
+                    marked.append((word, core, word[len(core) :]))
                     continue
             other.append(word)
-        out = self._letters(letters)
+        cores = {core for _, core, _ in marked}
+        out = {core: known[core] for core in cores if core in known}
+        out |= self._letters(list(cores.union(plain).difference(out)))
+        new = {tail for _, _, tail in marked}.difference(tails)
+        if len(tails) > 20_000:
+            tails.clear()
+            tails[b""] = b""
+            new = {tail for _, _, tail in marked if tail}
+        tails |= self._whole(sorted(new))
+        out |= [(word, out[core] + tails[tail]) for word, core, tail in marked]
         for i in range(0, len(other), 512):
             out |= self._whole(other[i : i + 512])
         return out
@@ -119,9 +135,7 @@ class WordEncoder:
     @staticmethod
     def _words(text: bytes) -> list[bytes]:
         """The words of a text, in lower case where that can't make a special token; bytes split at ASCII white space."""
-        if b"<|" not in text:
-            text = MARK.sub(rb" \g<0>", text.lower())
-        return text.split()
+        return (text if b"<|" in text else text.lower()).split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The serialized ids of each text, the end id included."""
