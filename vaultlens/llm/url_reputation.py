@@ -93,19 +93,13 @@ def host_reputation(
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     used = F.col("n") > 0
-    rate = suffixes.agg(F.coalesce(F.try_divide(F.sum("x"), F.sum("n")), F.lit(0.5)).alias("rate"))
-    # one row of the three strengths and the global rate; a join with one row is no growth
-    prior = rate
-    for level, name in ((suffixes, "k_suffix"), (domains, "k_domain"), (hosts, "k_host")):
-        prior = prior.join(F.broadcast(_strength(level.where(used), name, most)))
-    by_suffix = suffixes.join(F.broadcast(prior)).select(
-        "suffix", "k_domain", "k_host", ((F.col("x") + F.col("k_suffix") * F.col("rate")) / (F.col("n") + F.col("k_suffix"))).alias("m_suffix")
-    )
-    by_domain = domains.join(by_suffix, "suffix").select(
-        "domain", "suffix", "k_host", ((F.col("x") + F.col("k_domain") * F.col("m_suffix")) / (F.col("n") + F.col("k_domain"))).alias("m_domain")
-    )
-    alpha = F.col("x") + F.col("k_host") * F.col("m_domain")
-    beta = F.col("n") - F.col("x") + F.col("k_host") * (1 - F.col("m_domain"))
+    # four numbers, as scalar subqueries
+    rate = suffixes.agg(F.coalesce(F.try_divide(F.sum("x"), F.sum("n")), F.lit(0.5)).alias("rate")).scalar()
+    k_suffix, k_domain, k_host = (_strength(level.where(used), "k", most).scalar() for level in (suffixes, domains, hosts))
+    by_suffix = suffixes.select("suffix", ((F.col("x") + k_suffix * rate) / (F.col("n") + k_suffix)).alias("m_suffix"))
+    by_domain = domains.join(by_suffix, "suffix").select("domain", "suffix", ((F.col("x") + k_domain * F.col("m_suffix")) / (F.col("n") + k_domain)).alias("m_domain"))
+    alpha = F.col("x") + k_host * F.col("m_domain")
+    beta = F.col("n") - F.col("x") + k_host * (1 - F.col("m_domain"))
     total = F.col("alpha") + F.col("beta")
     return (
         hosts.join(by_domain, ["domain", "suffix"])
