@@ -91,7 +91,7 @@ def test_paths(spark):
 
 @pytest.mark.parametrize("text,status", [("", "empty"), ("word " * 200, "good"), ("1 2 3", "suspicious"), ("....", "empty")])
 def test_pages(spark, text, status):
-    m = spark.createDataFrame([(text,)], "t string").select(plausible.page_metrics(T.squeeze(F.col("t"))).alias("m"))
+    m = plausible.with_page_metrics(spark.createDataFrame([(text,)], "t string"), F.col("t"))
     assert m.select(plausible.page_status(F.col("m"))).first()[0] == status
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
@@ -49,23 +49,30 @@ def person_name(value: Column) -> Column:
     return (own != "") & ~company(own) & ~has_marker(F.lower(own), LABELS_IN_NAMES) & own.rlike(f"(?U)^(?:{CYRILLIC_NAME}|{LATIN_NAME})$")
 
 
-def page_metrics(text: Column) -> Column:
-    """struct(length, printable_ratio, alpha_ratio, word_count, avg_token_length, score) of squeezed text."""
-    n = F.length(text)
-    words = F.regexp_extract_all(text, F.lit(r"(?U)\w+"), 0)
-    count = F.size(words)
-    mean = F.when(count > 0, F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / count).otherwise(0.0)
-    printable = F.when(n > 0, 1 - F.regexp_count(text, F.lit(r"[\p{C}&&[^\t\n\r]]")) / n).otherwise(0.0)
-    visible = F.greatest(F.lit(1), n - F.regexp_count(text, F.lit(r"(?U)\s")))
-    alpha = F.when(n > 0, F.regexp_count(text, F.lit(r"\p{L}")) / visible).otherwise(0.0)
+def with_page_metrics(df: DataFrame, text: Column) -> DataFrame:
+    """df and m, a struct(length, printable_ratio, alpha_ratio, word_count, avg_token_length, score) of the squeezed text.
+
+    Characters are counted by what is left without runs of them, and each count is a column of its own, worked out once.
+    """
+    x, c = F.col("__x"), F.col
+    without = lambda pattern: F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
+    counted = df.withColumn("__x", squeeze(text)).withColumns({
+        "__n": F.length(x), "__words": F.regexp_count(x, F.lit(r"(?U)\w+")), "__in_words": without(r"(?U)\w+"), "__letters": without(r"\p{L}+"),
+        "__blank": without(r"(?U)\s+"), "__odd": without(r"[\p{C}&&[^\t\n\r]]+"),
+    })
+    n, count, some = c("__n"), c("__words"), c("__n") > 0
+    shares = counted.withColumns({
+        "__mean": F.when(count > 0, c("__in_words") / count).otherwise(0.0), "__printable": F.when(some, 1 - c("__odd") / n).otherwise(0.0),
+        "__alpha": F.when(some, c("__letters") / F.greatest(F.lit(1), n - c("__blank"))).otherwise(0.0),
+    })
+    mean = c("__mean")
     shape = F.when(count == 0, 0.0).when(mean < 2, mean / 2).when(mean > 15, F.greatest(F.lit(0.0), 1 - (mean - 15) / 15)).otherwise(1.0)
-    score = (
-        F.least(n / 1200, F.lit(1.0)) * 0.3 + printable * 0.2 + alpha * 0.2 + F.least(count / 120, F.lit(1.0)) * 0.2 + shape * 0.1
-    )
-    return F.struct(
-        n.alias("length"), printable.alias("printable_ratio"), alpha.alias("alpha_ratio"), count.alias("word_count"),
-        mean.alias("avg_token_length"), F.when(n > 0, score).otherwise(0.0).alias("score"),
+    score = F.least(n / 1200, F.lit(1.0)) * 0.3 + c("__printable") * 0.2 + c("__alpha") * 0.2 + F.least(count / 120, F.lit(1.0)) * 0.2 + shape * 0.1
+    m = F.struct(
+        n.alias("length"), c("__printable").alias("printable_ratio"), c("__alpha").alias("alpha_ratio"), count.alias("word_count"),
+        mean.alias("avg_token_length"), F.when(some, score).otherwise(0.0).alias("score"),
     )
+    return shares.withColumn("m", m).drop(*(k for k in shares.columns if k.startswith("__")))
 
 
 def page_status(m: Column) -> Column:

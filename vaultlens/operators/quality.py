@@ -158,32 +158,47 @@ def official(text: Column) -> Column:
     return (public >= 2) | ((public >= 1) & has_marker(text, L.PDF_OFFICIAL_MARKERS))
 
 
-def gate(file_format: Column, path: Column, sample: Column, cand: Column) -> Column:
-    """struct(keep, reason): what a file's format makes of its detections; reason is null where nothing is said."""
-    low, cats = F.lower(sample), D.categories(cand)
-    decoded = decoded_path(path)
-    text, plain = F.concat(decoded, F.lit("\n"), low), F.lower(F.concat(path, F.lit("\n"), sample))
-    anchors, companions = D.anchors(cand, L.PERSONAL_ANCHOR_CATEGORIES), D.both(D.ordinary(cand), L.PERSONAL_COMPANION_CATEGORIES)
+def with_gate(df: DataFrame, file_format: Column) -> DataFrame:
+    """df(rel_path, sample, cand) and gate, a struct(keep, reason): what a file's format makes of its detections.
+
+    reason is null where nothing is said.  What several rules look at is a column of its own, worked out once.
+    """
+    c = F.col
+    first = df.withColumns({
+        "__low": F.lower("sample"), "__decoded": decoded_path(c("rel_path")), "__cats": D.categories(c("cand")),
+        "__anchors": D.anchors(c("cand"), L.PERSONAL_ANCHOR_CATEGORIES), "__near": D.both(D.ordinary(c("cand")), L.PERSONAL_COMPANION_CATEGORIES),
+        "__web": public_web(c("sample")), "__special": F.exists("cand", D.sensitive), "__names": D.volume(F.filter("cand", D.sure), "person_name"),
+    }).withColumns({
+        "__text": F.concat("__decoded", F.lit("\n"), "__low"), "__image": F.concat("rel_path", F.lit("\n"), "__low"),
+        "__plain": F.lower(F.concat("rel_path", F.lit("\n"), "sample")), "__linked": D.both(c("__anchors"), L.PDF_LINKABLE_ANCHORS),
+    })
+    facts = first.withColumns({
+        "__official": F.when(file_format.isin("pdf", "rtf", "doc"), official(c("__text"))).when(file_format == "image", official(c("__image"))),
+        "__site": has_marker(c("__decoded"), L.DOCX_SITE_MARKERS), "__excluded": has_marker(c("__decoded"), L.DOCX_EXCLUDE_MARKERS),
+        "__listed": has_marker(c("__decoded"), L.DOCX_SHORTLIST_MARKERS),
+    })
+    return facts.withColumn("gate", _gate(file_format)).drop(*(x for x in facts.columns if x.startswith("__")))
+
+
+def _gate(file_format: Column) -> Column:
+    low, cats, decoded, text, plain, cand, anchors, companions, linked = map(F.col, ("__low", "__cats", "__decoded", "__text", "__plain", "cand", "__anchors", "__near", "__linked"))
     accompanied, standalone = F.size(companions) > 0, D.has(anchors, L.PERSONAL_STANDALONE_STRONG_CATEGORIES)
-    anchored, special = F.size(anchors) > 0, F.exists(cand, D.sensitive)
-    linked = D.both(anchors, L.PDF_LINKABLE_ANCHORS)
-    web, spoken = public_web(sample), has_marker(low, HTML_SUBJECTS)
-    names = D.volume(F.filter(cand, D.sure), "person_name")
+    anchored, special, web, names = F.size(anchors) > 0, F.col("__special"), F.col("__web"), F.col("__names")
+    spoken = has_marker(low, HTML_SUBJECTS)
     html_strong = (names >= 2) & accompanied | ~web & ((standalone & spoken) | (anchored & accompanied) | ((F.size(companions) >= 2) & spoken))
     docx_strong = special | standalone | (anchored & accompanied)
     pdf_strong = (F.size(linked) > 0) & (special | accompanied | D.has(linked, ("snils", "mrz")))
     image_strong = anchored & (special | accompanied | D.has(anchors, ("snils", "mrz", "passport_series_number", "bank_card")))
     org_xls = D.has(cats, ("email", "phone")) & F.array_contains(cats, "person_name") & has_marker(plain, L.XLS_ORG_CONTACT_MARKERS)
     mass_xls = (D.volume(cand, "email", "phone", "person_name") >= 10) & ~D.has(cats, XLS_TRUSTED)
-    image_text = F.concat(path, F.lit("\n"), low)
     keep = lambda reason: F.struct(F.lit(True).alias("keep"), F.lit(reason).cast("string").alias("reason"))
     drop = lambda reason: F.struct(F.lit(False).alias("keep"), F.lit(reason).alias("reason"))
 
     def office(prefix: str, more: list[tuple[Column, object]]) -> Column:
         return D.chain([
-            (docx_strong, keep(f"{prefix}_STRONG_BUNDLE")), (has_marker(decoded, L.DOCX_SITE_MARKERS), drop(f"{prefix}_SITE_PUBLIC_PATH")),
-            (has_marker(decoded, L.DOCX_EXCLUDE_MARKERS), drop(f"{prefix}_PUBLIC_OR_TEMPLATE_PATH")),
-            (~has_marker(decoded, L.DOCX_SHORTLIST_MARKERS), drop(f"{prefix}_PATH_NOT_SHORTLISTED")),
+            (docx_strong, keep(f"{prefix}_STRONG_BUNDLE")), (F.col("__site"), drop(f"{prefix}_SITE_PUBLIC_PATH")),
+            (F.col("__excluded"), drop(f"{prefix}_PUBLIC_OR_TEMPLATE_PATH")),
+            (~F.col("__listed"), drop(f"{prefix}_PATH_NOT_SHORTLISTED")),
             (D.only(cats, DOCX_WEAK), drop(f"{prefix}_WEAK_SIGNALS_ONLY")), *more,
         ], drop(f"{prefix}_NO_STRONG_BUNDLE"))
 
@@ -196,21 +211,21 @@ def gate(file_format: Column, path: Column, sample: Column, cand: Column) -> Col
         (D.only(cats, ("person_name", "email", "phone")), drop("XLS_WEAK_SIGNALS_ONLY")),
     ], keep(None))
     pdf = D.chain([
-        (has_marker(decoded, L.PDF_PUBLIC_SOURCE_MARKERS), drop("PDF_PUBLIC_SOURCE")), (official(text), drop("PDF_PUBLIC_LEGAL_OR_REPORT")),
+        (has_marker(decoded, L.PDF_PUBLIC_SOURCE_MARKERS), drop("PDF_PUBLIC_SOURCE")), (F.col("__official"), drop("PDF_PUBLIC_LEGAL_OR_REPORT")),
         (D.has(cats, ("email", "phone", "address")) & ~anchored & has_marker(text, L.PDF_ORG_CONTACT_MARKERS), drop("PDF_ORG_CONTACT_ONLY")),
         (has_marker(text, REGISTRY_WORDS) & D.has(cats, ("snils", "passport_series_number", "inn_individual")) & ~D.has(cats, ("person_name", "birth_date", "birth_place")),
          drop("PDF_PUBLIC_REGISTRY_OR_PROTOCOL")),
         (D.only(cats, PDF_WEAK), drop("PDF_WEAK_SIGNALS_ONLY")), (D.only(cats, L.PDF_NARRATIVE_ONLY_CATEGORIES), drop("PDF_NARRATIVE_NO_PERSON_LINKAGE")),
         (pdf_strong, keep("PDF_STRONG_BUNDLE")),
     ], drop("PDF_NO_STRONG_BUNDLE"))
-    public_image = has_marker(image_text, L.IMAGE_PUBLIC_MARKERS) | official(image_text)
+    public_image = has_marker(F.col("__image"), L.IMAGE_PUBLIC_MARKERS) | F.col("__official")
     image = D.chain([
         (public_image & ~image_strong, drop("IMAGE_PUBLIC_DOC_NO_STRONG_BUNDLE")), (image_strong, keep("IMAGE_STRONG_BUNDLE")),
         (D.only(cats, IMAGE_WEAK), drop("IMAGE_WEAK_SIGNALS_ONLY")),
     ], drop("IMAGE_NO_STRONG_BUNDLE"))
     return D.chain([
         (F.size(cand) == 0, keep(None)), (file_format == "html", html), (file_format == "xls", xls), (file_format == "docx", office("DOCX", [])),
-        (file_format.isin("rtf", "doc"), office("OFFICE", [(official(text), drop("OFFICE_PUBLIC_OR_TEMPLATE_PATH"))])), (file_format == "pdf", pdf), (file_format == "image", image),
+        (file_format.isin("rtf", "doc"), office("OFFICE", [(F.col("__official"), drop("OFFICE_PUBLIC_OR_TEMPLATE_PATH"))])), (file_format == "pdf", pdf), (file_format == "image", image),
     ], keep(None))
 
 
@@ -236,7 +251,7 @@ def assess(wide: DataFrame, templates: bool = True) -> DataFrame:
     out = wide
     for name, (flag, why) in flags.items():
         out = out.withColumn(f"is_{name}", flag).withColumn(f"why_{name}", why)
-    out = out.withColumn("gate", gate(c("format"), c("rel_path"), c("sample"), c("cand")))
+    out = with_gate(out, c("format"))
     kept = F.when(c("gate.keep"), c("cand")).otherwise(F.array().cast(D.DETS))
     said = F.filter(F.array("gate.reason"), lambda r: r.isNotNull())
     return (

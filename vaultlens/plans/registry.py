@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vaultlens.functions import checksums, plausible
 from vaultlens.functions import lexicons as L
 from vaultlens.functions import text as T
-from vaultlens.operators import aggregate, cross_file, quality
+from vaultlens.operators import aggregate, cross_file, quality, scoring
 from vaultlens.operators import dets as D
 from vaultlens.operators.detect import deduplicate, find_hits
 from vaultlens.operators.spans import Settings
@@ -497,9 +497,7 @@ FLAGS_SQL = f"""
 
 def gate_query(name: str, file_format: str, sql: str) -> None:
     def run(spark, sf_dir):
-        made = made_files(spark, sf_dir)
-        g = quality.gate(F.lit(file_format), F.col("rel_path"), F.col("sample"), F.col("cand"))
-        return made.select("p_partkey", g["keep"].alias("keep"), g["reason"].alias("reason"))
+        return quality.with_gate(made_files(spark, sf_dir), F.lit(file_format)).select("p_partkey", "gate.keep", "gate.reason")
 
     query(name, FLAGS_SQL + f", j AS (SELECT p_partkey, CASE WHEN empty THEN 'keep:' {sql} END AS r FROM h) SELECT p_partkey, r LIKE 'keep:%' AS keep, nullif(substr(r, 6), '') AS reason FROM j")(run)
 
@@ -546,6 +544,71 @@ def file_suppression(spark, sf_dir):
     return made_files(spark, sf_dir).select("p_partkey", F.size(left).cast("long").alias("kept"))
 
 
+# --- storage context and level over the same files ----------------------------------------------------------------------
+
+
+def made_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    none = F.array().cast("array<string>")
+    return made_files(spark, sf_dir).select(
+        key, "cand", "rel_path", F.concat("sample", F.when(key % 7 == 0, " acme llc").otherwise("")).alias("sample"), F.when(key % 5 == 0, "pdf").otherwise("txt").alias("format"),
+        F.when(key % 3 == 0, "csv").otherwise("txt").alias("extractor"), F.when(key % 4 == 0, F.array(F.lit("customer_name"), F.lit("address"))).otherwise(none).alias("header"),
+        (key * 13 % 300).alias("rows_scanned"), (key % 11 == 0).alias("is_template"), (key % 13 == 0).alias("is_public_doc"), (key % 17 == 0).alias("is_reference_data"),
+        F.when(key % 8 < 6, F.col("cand")).otherwise(F.array().cast(D.DETS)).alias("final"), none.alias("quality_reasons"),
+    )
+
+
+def _some(text: str, markers: Sequence[str]) -> str:
+    return f"{sql_count(text, markers)} > 0"
+
+
+_HARD, _CASES = "(has_snils OR has_bank_card)", [c[1] for c in GATE_CASES]
+DECIDE_SQL = f"""
+    WITH f AS ({FILES_SQL}),
+    i AS (SELECT *, path || chr(10) || txt || CASE WHEN p_partkey % 7 = 0 THEN ' acme llc' ELSE '' END AS t, CASE WHEN p_partkey % 4 = 0 THEN 'customer_name address' ELSE '' END AS hdr, p_partkey % 3 = 0 AS tab,
+                 p_partkey * 13 % 300 AS nrows, p_partkey % 11 = 0 AS tmpl, p_partkey % 13 = 0 AS pubdoc, p_partkey % 17 = 0 AS refd, p_partkey % 8 < 6 AS kept,
+                 {_HARD} AS hard, has_email OR has_address AS comp, has_person_name OR has_address OR has_snils OR has_bik AS trusted, NOT ({' OR '.join('has_' + c for c in _CASES)}) AS nothing FROM f),
+    a AS (SELECT *, NOT tmpl AND {_some('t', L.PERSONAL_FORM_MARKERS)} AS form, {sql_count('hdr', L.PERSONAL_EXPORT_HEADER_MARKERS)} AS hh FROM i),
+    b AS (SELECT *, NOT form AND {_some('t', L.JUSTIFIED_PUBLIC_MARKERS)} AND (has_email OR {_some('t', ('@', 'телефон', 'phone'))}) AND (has_person_name OR trusted OR has_address OR {_some('t', ('ответствен', 'responsible', 'directory'))}) AS contact,
+                 NOT form AND {_some('t', L.PUBLIC_REPORT_MARKERS)} AS report, {_some('t', L.ORG_REQUISITE_MARKERS)} OR (has_bik AND NOT (hard OR has_person_name)) AS org,
+                 {_some('t', L.INTERNAL_DOC_MARKERS)} AS internal, {_some('t', L.CORRESPONDENCE_MARKERS)} AS corr, p_partkey % 5 = 0 AND (hard OR has_health_data OR {_some('t', scoring.IMAGE_WORDS)}) AS img,
+                 tab AND (hard OR (has_person_name AND (comp OR hh >= 2)) OR (nrows >= 50 AND hh >= 2 AND {_some('path', L.PERSONAL_EXPORT_PATH_MARKERS)}) OR (nrows >= 200 AND hdr <> '')) AS export,
+                 tab AND NOT hard AND ({_some('hdr', L.COMPANY_EXPORT_MARKERS)} OR {_some('path', L.COMPANY_EXPORT_MARKERS)}) AND {_some('t', L.ORG_SUFFIX_MARKERS)} AND NOT has_person_name AND (nrows >= 20 OR comp) AS company FROM a),
+    s AS (SELECT *, 4 * form::INT + 4 * internal::INT + 4 * corr::INT + 5 * img::INT + 5 * export::INT + 4 * hard::INT + 5 * has_health_data::INT + 4 * has_bik::INT + 3 * ((hard OR has_person_name) AND comp)::INT
+                    + 2 * (tab AND nrows >= 50 AND (has_person_name OR comp OR hard))::INT AS risk,
+                 5 * contact::INT + 4 * (report OR pubdoc)::INT + 3 * company::INT AS just,
+                 5 * tmpl::INT + 4 * org::INT + 3 * (refd AND NOT export)::INT + 2 * nothing::INT + (NOT (trusted OR hard OR has_health_data OR has_bik))::INT AS noise,
+                 CASE WHEN export THEN 'personal_export' WHEN img THEN 'image_of_personal_doc' WHEN form THEN 'personal_form' WHEN internal THEN 'internal_employee_doc' WHEN corr THEN 'correspondence'
+                      WHEN contact THEN 'public_contact_doc' WHEN report OR pubdoc THEN 'public_report' WHEN company THEN 'company_export' WHEN org THEN 'org_requisites_doc' WHEN tmpl THEN 'blank_template' END AS genre,
+                 kept AND NOT nothing AS remains FROM b),
+    c1 AS (SELECT *, CASE WHEN risk >= 5 AND risk > just + greatest(1, noise // 2) THEN 'T' WHEN just >= 4 AND (trusted OR hard OR comp OR remains) THEN 'J' ELSE 'N' END AS k1 FROM s),
+    c2 AS (SELECT *, company AND k1 = 'T' AND NOT hard AND NOT has_health_data AS over FROM c1),
+    c3 AS (SELECT *, CASE WHEN over THEN CASE WHEN comp THEN 'J' ELSE 'N' END ELSE k1 END AS k2,
+                  CASE WHEN over THEN 'company_export' ELSE coalesce(genre, CASE k1 WHEN 'T' THEN 'personal_record' WHEN 'J' THEN 'justified_public_doc' ELSE 'noise' END) END AS g2 FROM c2),
+    c4 AS (SELECT *, (contact OR report) AND k2 = 'T' AND NOT ((has_person_name AND (has_health_data OR hard)) OR form OR internal OR corr OR img OR export) AS pub FROM c3),
+    c5 AS (SELECT *, CASE WHEN pub THEN 'J' ELSE k2 END AS k3, CASE WHEN pub THEN CASE WHEN contact THEN 'public_contact_doc' ELSE 'public_report' END ELSE g2 END AS g3 FROM c4),
+    c6 AS (SELECT *, CASE WHEN tmpl AND k3 <> 'T' THEN 'N' ELSE k3 END AS k4, CASE WHEN tmpl AND k3 <> 'T' THEN 'blank_template' ELSE g3 END AS g4 FROM c5),
+    c7 AS (SELECT *, k4 = 'T' AND NOT remains AND NOT export AS weak FROM c6),
+    d AS (SELECT *, CASE WHEN weak THEN 'N' ELSE k4 END AS k, CASE WHEN weak THEN coalesce(genre, 'noise') ELSE g4 END AS g FROM c7)"""
+
+
+@query("leak_scores", DECIDE_SQL + " SELECT p_partkey, risk, just AS justification, noise FROM d")
+def leak_scores(spark, sf_dir):
+    done = scoring.decide(scoring.signals(made_assessed(spark, sf_dir)))
+    return done.select("p_partkey", "risk", "justification", "noise")
+
+
+@query("storage_class", DECIDE_SQL + " SELECT p_partkey, CASE k WHEN 'T' THEN 'TARGET_LEAK' WHEN 'J' THEN 'PD_BUT_JUSTIFIED_STORAGE' ELSE 'NON_TARGET' END AS storage_class, g AS primary_genre FROM d")
+def storage_class(spark, sf_dir):
+    return scoring.decide(scoring.signals(made_assessed(spark, sf_dir))).select("p_partkey", "storage_class", "primary_genre")
+
+
+@query("uz_level", DECIDE_SQL + """ SELECT p_partkey, CASE WHEN k <> 'T' OR (tmpl AND NOT (remains AND trusted)) OR (pubdoc AND NOT (remains AND (has_health_data OR has_snils OR has_bik))) OR (refd AND NOT (remains AND trusted)) THEN 'NO_PDN'
+       WHEN NOT remains THEN 'NO_PDN' WHEN has_health_data THEN 'UZ-1' WHEN has_bik THEN 'UZ-2' WHEN has_snils THEN 'UZ-3' WHEN has_person_name OR has_email OR has_address THEN 'UZ-4' ELSE 'NO_PDN' END AS level FROM d""")
+def uz_level(spark, sf_dir):
+    return scoring.classify(scoring.decide(scoring.signals(made_assessed(spark, sf_dir)))).select("p_partkey", "level")
+
+
 # --- cross-file rules over verdicts made from keys ---------------------------------------------------------------------
 
 CROSS = (("person_name",), ("address",), ("snils", "email"), ("person_name", "phone"), ("health_data", "person_name", "email"), ("bank_card",), ("inn_legal_entity",))
@@ -668,7 +731,7 @@ PAGE_SQL = r"""
 
 @query("page_quality", PAGE_SQL)
 def page_quality(spark, sf_dir):
-    m = table(spark, sf_dir, "documents").select("doc_id", plausible.page_metrics(T.squeeze(F.col("text"))).alias("m"))
+    m = plausible.with_page_metrics(table(spark, sf_dir, "documents"), F.col("text"))
     return m.select("doc_id", F.col("m.word_count").cast("long").alias("words"), F.round("m.score", 6).alias("score"), plausible.page_status(F.col("m")).alias("status"))
 
 
