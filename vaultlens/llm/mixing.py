@@ -152,13 +152,15 @@ def mix_sources(
     use_shared_dir(docs.sparkSession)
     sized = docs.withColumn("size", n_words(F.col("text")))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    plan = plan_mix(sized.select("source", "size"), weights, max_epochs)
+    # Sizes and ids, without texts, are counted and ranked: written once, so that texts are read twice in all.
+    known = sized.select("source", "size", "doc_id").checkpoint()
+    plan = plan_mix(known.select("source", "size"), weights, max_epochs)
     # Read several times: written once, so that the fitting isn't repeated and survives lost executors.
     plan = plan.withColumn("slices", F.ceil(F.col("n_docs") / slice_rows)).checkpoint()
     few = plan.count() <= broadcast_rows
     thinned = plan.where((F.col("take") > 0) & (F.col("take") < F.col("n_docs")))
     ids = (
-        _with_plan(sized.select("source", "size", "doc_id"), thinned, few, salts)
+        _with_plan(known, thinned, few, salts)
         .where(F.col("r.take").isNotNull())
         .select("l.source", "l.size", "l.doc_id", "r.take", draw.alias("draw"), F.pmod(draw, F.col("r.slices")).alias("slice"))
     )
