@@ -104,6 +104,13 @@ class TestBlock:
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[self.keys >> U64(42)] = True
 
+    @classmethod
+    def of(cls, fields: dict) -> TestBlock:
+        """A block from its fields: broadcasts hold plain values, so that workers need no module of ours."""
+        block = cls.__new__(cls)
+        vars(block).update(fields)
+        return block
+
 
 def suffix_array(words: Words, test: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(suffix starts in order, their first words, the end of each word's text) of a shard."""
@@ -206,13 +213,13 @@ def find_matches(
     blocks = test_blocks(benchmark, window, block_bytes)
     for i, block in enumerate(blocks):
         schema = out.schema if keep_text or i + 1 < len(blocks) else out.drop("text").schema
-        out = out.mapInArrow(_search(spark.sparkContext.broadcast(block), shard_bytes, schema.fieldNames()), schema)
+        out = out.mapInArrow(_search(spark.sparkContext.broadcast(vars(block)), shard_bytes, schema.fieldNames()), schema)
     return out
 
 
 def _search(shared, shard_bytes: int, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test, p = shared.value, Powers(BASE)
+        test, p = TestBlock.of(shared.value), Powers(BASE)
         for batch in batches:
             for rows, data, offsets in slices(batch, "text", shard_bytes):
                 found = found_in(data, offsets, test, p)

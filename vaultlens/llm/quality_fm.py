@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4_000, seed: i
 
 def _scorer(shared, keep: float | None, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, p = shared.value, Powers(BASE)
+        m, p = Machine(*shared.value), Powers(BASE)
         for batch in batches:
             for rows, data, offsets in slices(batch, "text", RUN_BYTES):
                 n_chars = rows.column(rows.schema.get_field_index("n_chars")).to_pylist()
@@ -203,9 +203,9 @@ def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id
     """columns of docs(text, n_chars, ...) and score."""
     read = docs.select(*dict.fromkeys([*columns, "n_chars", "text"]))
     out = read.withColumn("score", F.lit(0.0)).select(*columns, "score").schema
-    return read.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(machine), None, out.fieldNames()), out)
+    return read.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors)), None, out.fieldNames()), out)
 
 
 def keep_good(docs: DataFrame, machine: Machine, least: float) -> DataFrame:
     """The rows of docs whose score reaches least."""
-    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(machine), least, []), docs.schema)
+    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors)), least, []), docs.schema)
