@@ -21,3 +21,14 @@ def test_entry_without_the_llm_folders(tmp_path):
     env = os.environ | {"PYTHONPATH": str(tmp_path / "repo")}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_workers_need_no_path_to_the_package(tmp_path):
+    """From another folder and without PYTHONPATH, as on a cluster whose workers don't have the repository."""
+    code = (
+        f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; from vaultlens.session import local_session; s = local_session(cores='2', partitions=2, memory='2g')\n"
+        f"for n in ('det_inn', 'det_person_name'): assert e.queries()[n](s, {SF!r}).count() > 0"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]

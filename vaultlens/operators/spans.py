@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, date, datetime
 
 from vaultlens.functions import lexicons as L
+from vaultlens.functions.checksums import INN10_WEIGHTS, INN12_FIRST_WEIGHTS, INN12_SECOND_WEIGHTS, SNILS_WEIGHTS
 from vaultlens.functions.plausible import CYRILLIC_NAME, HOUSE_NUMBER, LABELS_IN_NAMES, LATIN_NAME, UK_POSTCODE, ZIP
 
 # The patterns that define what is found.
@@ -144,14 +145,10 @@ def _sum(own: str, weights: tuple[int, ...]) -> int:
 
 
 def snils_ok(own: str) -> bool:
-    from vaultlens.functions.checksums import SNILS_WEIGHTS
-
     return len(own) == 11 and own != "0" * 11 and _sum(own, SNILS_WEIGHTS) % 101 % 100 == int(own[9:])
 
 
 def inn_ok(own: str) -> bool:
-    from vaultlens.functions.checksums import INN10_WEIGHTS, INN12_FIRST_WEIGHTS, INN12_SECOND_WEIGHTS
-
     checks = {10: (INN10_WEIGHTS,), 12: (INN12_FIRST_WEIGHTS, INN12_SECOND_WEIGHTS)}.get(len(own), ())
     return bool(checks) and all(_sum(own, w) % 11 % 10 == int(own[len(w)]) for w in checks)
 
