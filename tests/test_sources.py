@@ -110,3 +110,38 @@ def test_stream(spark, tmp_path):
     assert [r["category"] for r in spark.table("hits_now").collect()] == ["email"]
     rows = spark.createDataFrame([("2024-01-01 10:05:00", "a"), ("2024-01-01 10:50:00", "a")], "t string, k string").withColumn("t", F.col("t").cast("timestamp"))
     assert windowed_counts(rows, "t", "k").first()["n"] == 2
+
+
+def test_recognition_picks_the_best_text():
+    from vaultlens.sources import ocr
+
+    assert ocr.languages("rus+eng", ("eng", "deu")) == ("eng", ["partial match for 'rus+eng': 'eng'"])
+    assert ocr.languages("rus", ("deu",))[0] == "deu" and ocr.languages("rus", ()) == ("", ["no languages available"])
+    engine = lambda frame, variant, mode, language: {"sharp": "passport number", "base": "p4ss n0m"}.get(variant, "") if mode == 11 else "x"
+    read = ocr.image_reader(lambda raw: ["f"], engine)
+    assert extract_bytes("image", b"GIF89a...", readers={"image": read}).chunks == ["passport number"]
+    assert extract_bytes("image", b"<html>", readers={"image": read}).status == "empty"
+    bad = ocr.image_reader(lambda raw: ["f"], lambda *a: 1 / 0)
+    assert extract_bytes("image", b"BM..", readers={"image": bad}).status == "error"
+
+
+def test_scores_agree(spark):
+    from vaultlens.sources.ocr import text_score
+
+    texts = ["", "hello world", "a1 b2", "(passport) 12345, x", "..."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(plausible.ocr_score(F.col("t"))).collect()
+    assert [round(r[0], 6) for r in rows] == [round(text_score(t), 6) for t in texts]
+
+
+def test_errors():
+    from vaultlens.sources.errors import ScanError, as_row
+
+    assert as_row(ValueError("x"), "extract", "a")["code"] == "runtime_error"
+    own = ScanError("walker_error", "walk", "gone", "p")
+    assert str(own) == "walker_error: gone" and as_row(own, "other", "q")["path"] == "p" and as_row(own, "other")["stage"] == "walk"
+    with pytest.raises(ValueError):
+        ScanError("nothing", "s", "m")
+
+
+def test_normal_form(spark):
+    assert spark.createDataFrame([("ﬁ\u2460",), (None,)], "t string").select(T.nfkc(F.col("t"))).collect()[0][0] == "fi1"

@@ -9,6 +9,7 @@ import os
 import sys
 import uuid
 from dataclasses import asdict, dataclass, field
+from datetime import UTC, datetime
 
 from . import __version__
 
@@ -70,10 +71,11 @@ def load_config(path: str | None) -> Config:
 def run_scan(spark, root: str, out: str, config: Config | None = None) -> list[str]:
     from .operators.aggregate import run_metrics
     from .plans.scan import scan
+    from .sources.errors import ScanError
     from .sources.extract import chunks_of, extract, list_files
     from .sources.reports import write_files
 
-    config = config or Config()
+    config, started = config or Config(), datetime.now(UTC)
     s = config.sections["scan"]
     size = s["max_file_size_mb"]
     files = list_files(spark, root, hidden=s["include_hidden"], max_bytes=size * 2**20 if size else None)
@@ -83,9 +85,14 @@ def run_scan(spark, root: str, out: str, config: Config | None = None) -> list[s
     use_shared_dir(spark)
     found = found.checkpoint()
     if not s["continue_on_error"] and not found.where("status = 'error'").isEmpty():
-        raise RuntimeError("a file could not be read")
+        raise ScanError("extraction_error", "extract", "a file could not be read", recoverable=False)
     done = scan(found.drop("chunks"), chunks_of(found), config.settings(), config.thresholds(), config.sections["feature_flags"]["enable_template_heuristics"]).checkpoint()
-    return write_files(done, run_metrics(done), uuid.uuid4().hex[:12], out)
+    metrics, finished = run_metrics(done), datetime.now(UTC)
+    facts = {
+        "version": __version__, "input_dir": root, "output_dir": out, "started_at": started.isoformat(), "finished_at": finished.isoformat(),
+        "duration_seconds": (finished - started).total_seconds(), "files_discovered": found.count(),
+    }
+    return write_files(done, metrics, uuid.uuid4().hex[:12], out, facts)
 
 
 def main(argv: list[str] | None = None) -> int:

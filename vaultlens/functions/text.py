@@ -85,12 +85,7 @@ def directory(path: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility normal form.  Spark has none, so rows that aren't ASCII go through an Arrow batch."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    """Unicode compatibility normal form, in Arrow batches: Spark has none."""
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-    @pandas_udf("string")
-    def normal(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKC")
-
-    return normal(text)
+    return pandas_udf(lambda values: values.str.normalize("NFKC"), "string", PandasUDFType.SCALAR)(text)

@@ -391,7 +391,7 @@ def extract_bytes(file_format: str, raw: bytes, most: int = CHUNKS_MOST, readers
     try:
         return reader(raw, most).settled(most)
     except Exception as error:  # one bad file must not end a scan
-        return Extract("error", warnings=[f"{file_format} extraction failed: {error}"], errors=["EXTRACTION_ERROR"])
+        return Extract("error", warnings=[f"{file_format} extraction failed: {error}"], errors=["extraction_error"])
 
 
 EXTRACTED = "file_id string, rel_path string, format string, extractor string, size_bytes bigint, status string, header array<string>, rows_scanned bigint, warnings array<string>, errors array<string>, chunks array<string>"

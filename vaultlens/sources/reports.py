@@ -56,8 +56,11 @@ def write_tables(verdicts: DataFrame, run_id: str, out: str) -> None:
     shown.write.mode("overwrite").json(f"{out}/files")
 
 
-def write_files(verdicts: DataFrame, metrics: DataFrame, run_id: str, out: str) -> list[str]:
-    """summary.csv, result.csv, report.json and report.md as single files of the driver, row by row from the executors."""
+def write_files(verdicts: DataFrame, metrics: DataFrame, run_id: str, out: str, facts: dict | None = None) -> list[str]:
+    """summary.csv, result.csv, report.json and report.md as single files of the driver, row by row from the executors.
+
+    facts: more of the run for the summary (version, folders, times).
+    """
     place = Path(out)
     place.mkdir(parents=True, exist_ok=True)
     for name, rows in (("summary.csv", summary_rows(verdicts, run_id)), ("result.csv", result_rows(verdicts))):
@@ -70,7 +73,7 @@ def write_files(verdicts: DataFrame, metrics: DataFrame, run_id: str, out: str)
         totals.setdefault(r["kind"], {})[r["name"]] = r["n"]
     shown = verdicts.drop("cand", "final", "quality_reasons", "context_reasons", "dropped")
     with (place / "report.json").open("w", encoding="utf-8") as handle:
-        handle.write('{"summary": ' + json.dumps({"run_id": run_id, "totals": totals}, ensure_ascii=False) + ', "files": [')
+        handle.write('{"summary": ' + json.dumps({"run_id": run_id, "totals": totals, "notes": NOTES, **(facts or {})}, ensure_ascii=False) + ', "files": [')
         for i, r in enumerate(shown.orderBy("rel_path").select(F.to_json(F.struct(*shown.columns)).alias("j")).toLocalIterator()):
             handle.write((", " if i else "") + r["j"])
         handle.write("]}\n")
