@@ -517,3 +517,19 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     good = [d for d, q in labels.items() if q == 1]
     assert sum(d in {r["doc_id"] for r in kept["quality classifier"]} for d in good) >= 0.99 * len(good)
+
+
+@pytest.mark.parametrize("rows", ["edges", "none"])
+def test_pipeline_stages_take_any_rows(spark, rows):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = frame(spark, edge_docs() if rows == "edges" else [], clash=False)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert name == "token store" or out.columns == docs.columns
+        if rows == "none":
+            assert got == []
+        elif name == "near-duplicates":
+            assert len({r["doc_id"] for r in got if r["doc_id"] is not None}) == len([r for r in got if r["doc_id"] is not None])
+        elif name == "token store":
+            assert len(got) == docs.count()
