@@ -398,6 +398,11 @@ def html_noise(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", quality.html_noise(part).alias("noise"))
 
 
+@query("html_noise_whole", f"SELECT page_id, {NOISE_SQL} AS noise FROM pages")
+def html_noise_whole(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", quality.html_noise(F.col("html")).alias("noise"))
+
+
 WEB_TEXT = "CASE c_custkey % 3 WHEN 0 THEN 'Follow Us on Telegram and Twitter ' WHEN 1 THEN 'rss comments ' ELSE 'plain ' END || c_name"
 
 
