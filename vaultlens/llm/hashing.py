@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 U64 = np.uint64
@@ -68,3 +70,32 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     left = np.minimum.accumulate(rows, 1).ravel()
     right = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
     return np.minimum(right[: m - w + 1], left[w - 1 : m])
+
+
+@dataclass
+class Words:
+    """The word hashes of several texts in a row; first[i]:first[i + 1] are those of text i."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, p: Powers, *, inside: np.ndarray, values: np.ndarray) -> Words:
+    """Words, runs of the bytes marked in inside, of the texts data[offsets[i]:offsets[i + 1]]; they never cross texts."""
+    within = inside[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    before, after = np.r_[False, within[:-1]] if len(data) else within, np.r_[within[1:], False] if len(data) else within
+    starts = np.flatnonzero(within & (~before | cut[:-1]))
+    ends = np.flatnonzero(within & (~after | cut[1:])) + 1
+    first = np.searchsorted(starts, offsets)
+    if not len(starts):
+        return Words(np.zeros(0, np.uint64), first)
+    sizes = ends - starts
+    chars = values[data[within]]
+    begins = np.cumsum(sizes) - sizes
+    at = np.arange(len(chars)) - np.repeat(begins, sizes)
+    p.grow(int(sizes.max()) + 1)
+    hashes = mixed(np.add.reduceat(chars * p.up[at], begins) + sizes.astype(np.uint64) * U64(SECOND_BASE))
+    hashes[hashes == 0] = 1  # zero stands for what is past a text's end
+    return Words(hashes, first)

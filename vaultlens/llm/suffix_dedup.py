@@ -1,19 +1,24 @@
 """Suffix-array dedup: removal of every byte that a repeated ``length``-byte string covers.
 
-The suffixes of all texts are ordered only through ``length`` bytes, by most-significant-digit passes in which a digit is
-a long piece of a suffix, and an equal group of one is dropped at once:
+Equal groups of suffixes are told apart only through ``length`` bytes, in passes that drop groups of one at once.  These
+aren't the byte-ordered passes of a radix sort, which would have to shuffle a first digit for every byte of the corpus (8
+bytes each: 14 times the stored size of the check tables).  What is passed on instead is a long piece of a suffix,
+wherever it lies, so that most suffixes of a corpus never travel:
 
-1. The first digit of a suffix is its anchor, the least hash of the ``gram``-byte strings inside the first ``length``
+1. The first piece of a suffix is its anchor, the least hash of the ``gram``-byte strings inside the first ``length``
    bytes (leftmost if there are several).  Neighbouring suffixes with one anchor form a segment.  Equal windows have
    equal anchors, so a segment whose anchor is nowhere else holds no repeat: most of a corpus ends here.
-2. The second digit is the segment's whole text.  Segments that are equal elsewhere are repeated throughout; if all of an
+2. The second piece is the segment's whole text.  Segments that are equal elsewhere are repeated throughout; if all of an
    anchor's segments are equal, that is all there is to know.
 3. Only where an anchor has several different segments are their suffixes sorted by their whole first ``length`` bytes:
    those of each segment text that is alone, and those of one of each repeated text.  Equal groups are the repeated
    windows.
 
-Digits travel as 64-bit hashes: an anchor by its own; a segment by its own and its anchor's, 128 bits; a window by its
-own and half of its anchor's, 96 bits.
+Pieces ("digits" below) travel as 64-bit hashes and are equal if these are: an anchor by its own; a segment by its own
+and its anchor's, 128 bits; a window by its own and half of its anchor's, 96 bits.  Bytes aren't compared again.
+
+Two lanes go through the same passes: windows of bytes, and, if asked for, windows of words that stand in several rows,
+which tell the passages that documents share.
 
 Texts are dealt into units of about ``unit_bytes`` by a hash of the row.  A unit sends each different digit once, with
 whether it has it twice, and gets back what it needs to know by digit, not by place; so a passage that a third of all
@@ -28,6 +33,7 @@ never take part.  What is kept is bytes: a span may begin or end inside a charac
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,30 +41,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices
-from .hashing import BASE, SECOND_BASE, U64, Powers, byte_table, mixed, prefix_hashes, sliding_min, window_hashes
+from .hashing import BASE, SECOND_BASE, U64, Powers, byte_table, mixed, prefix_hashes, sliding_min, window_hashes, words_of
 
 CHUNK_BYTES = 2_000_000
 UNIT_BYTES = 8_000_000
 VALUES = byte_table(8)
 HASH32 = U64(0xFFFFFFFF)
+#: Bytes of words: all but white space.
+IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Kinds of digits in a lane: anchors, segments, windows.
+KINDS = 3
 #: What is said of digits: of anchors, of segments, of windows.
 ALIKE, MIXED, FIRST, COPY, REPEATED = "alike", "mixed", "first", "copy", "repeated"
 DIGITS = "bucket int, kind int, unit long, main binary, side binary, flags binary"
 DIGIT_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("unit", pa.int64()), ("main", pa.binary()), ("side", pa.binary()), ("flags", pa.binary())])
-ANSWERS = "unit long, said string, main binary"
-ANSWER_SCHEMA = pa.schema([("unit", pa.int64()), ("said", pa.string()), ("main", pa.binary())])
+ANSWERS = "unit long, lane int, said string, main binary"
+ANSWER_SCHEMA = pa.schema([("unit", pa.int64()), ("lane", pa.int32()), ("said", pa.string()), ("main", pa.binary())])
+
+
+@dataclass(frozen=True)
+class Lane:
+    """What is sorted: windows of length bytes, or of words; across: only what stands in several rows is a repeat."""
+
+    length: int
+    gram: int
+    words: bool = False
+    across: bool = False
 
 
 class Segments:
-    """The segments of several texts in a row: runs of windows [start, end) with one anchor."""
+    """The segments of several texts in a row: runs of windows [start, end) with one anchor.
+
+    values are the texts' bytes or words as 64-bit numbers; row: the text that a segment stands in.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int, p: Powers):
-        self.length, self.p, n = length, p, len(data)
-        self.start = self.end = np.zeros(0, np.int64)
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, length: int, gram: int, p: Powers):
+        self.length, self.p, self.offsets, n = length, p, offsets, len(values)
+        self.start = self.end = self.row = np.zeros(0, np.int64)
         self.anchor = self.text = self.key = np.zeros(0, np.uint64)
         if n < length:
             return
-        self.prefix = prefix_hashes(VALUES[data], p)
+        self.prefix = prefix_hashes(values, p)
         grams = mixed(window_hashes(self.prefix, gram, p))
         least = sliding_min(grams, length - gram + 1)
         inside = np.zeros(n + 1, np.int32)  # windows that don't leave their text
@@ -78,7 +101,7 @@ class Segments:
         doc = np.searchsorted(offsets, edge, side="right") - 1
         ends = np.minimum(ends, offsets[doc + 1] - length + 1)
         keep = inside[edge] & (ends > edge)
-        self.start, self.end = edge[keep], ends[keep]
+        self.start, self.end, self.row = edge[keep], ends[keep], doc[keep]
         self.anchor = least[self.start]
         size = (self.end - self.start).astype(np.uint64)
         self.text = mixed((self.prefix[self.end - 1 + length] - self.prefix[self.start]) * p.down[self.start] + size * U64(SECOND_BASE))
@@ -91,15 +114,13 @@ class Segments:
         return at, mixed((self.prefix[at + self.length] - self.prefix[at]) * self.p.down[at])
 
 
-def _once(main: np.ndarray, side: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each different (main, side), and whether it is there twice or marked so."""
-    order = np.lexsort((side, main))
-    main, side, twice = main[order], side[order], twice[order]
-    new = np.r_[True, (main[1:] != main[:-1]) | (side[1:] != side[:-1])][: len(main)]
-    at = np.flatnonzero(new)
-    if not len(at):
-        return main, side, twice
-    return main[at], side[at], (np.diff(np.r_[at, len(main)]) > 1) | np.logical_or.reduceat(twice, at)
+def _once(main: np.ndarray, side: np.ndarray, row: np.ndarray, across: bool) -> tuple[np.ndarray, ...]:
+    """Each different (main, side), whether it is there twice (across: in two rows), the first and the last row with it."""
+    order = np.lexsort((row, side, main))
+    main, side, row = main[order], side[order], row[order]
+    at, _ = _groups(main, side)
+    last = np.r_[at[1:], len(main)][: len(at)] - 1
+    return main[at], side[at], (row[at] != row[last]) if across else last > at, row[at], row[last]
 
 
 def _by_bucket(kind: int, unit: int, main: np.ndarray, side: np.ndarray, flags: np.ndarray, buckets: int) -> Iterator[tuple]:
@@ -117,29 +138,44 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema.types, strict=True)], schema=schema)
 
 
-def _chunks(table: pa.Table, length: int, gram: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Segments]]:
-    p = Powers(BASE)
+def _segments(data: np.ndarray, offsets: np.ndarray, lane: Lane, p: Powers) -> Segments:
+    if not lane.words:
+        return Segments(VALUES[data], offsets, lane.length, lane.gram, p)
+    found = words_of(data, offsets, p, inside=IN_WORD, values=VALUES)
+    return Segments(found.hashes, found.first, lane.length, lane.gram, p)
+
+
+def _chunks(table: pa.Table, lanes: list[Lane]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, list[Segments]]]:
+    """Runs of rows, their bytes, the number of rows before, and the segments of every lane."""
+    p, before = Powers(BASE), 0
     for batch in table.to_batches():
         for rows, data, offsets in slices(batch, "text", CHUNK_BYTES):
-            yield rows, data, offsets, Segments(data, offsets, length, gram, p)
+            yield rows, data, offsets, before, [_segments(data, offsets, lane, p) for lane in lanes]
+            before += rows.num_rows
 
 
-def _first_digits(length: int, gram: int, buckets: int):
-    """A unit's anchors (kind 0, with the text of their only segment or 0 for several) and segments (kind 1)."""
+def _first_digits(lanes: list[Lane], buckets: int):
+    """A unit's anchors (kind 0, with the text of their only segment or 0 for several) and segments (kind 1) in each lane."""
 
     def run(key: tuple, texts: pa.Table) -> pa.Table:
-        unit = key[0].as_py()
-        found = [(s.anchor, s.text, s.key) for _, _, _, s in _chunks(texts, length, gram)]
-        anchor, text, own = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.uint64) for i in range(3))
-        no = np.zeros(len(own), bool)
-        key_, text_, twice = _once(own, text, no)
-        rows = list(_by_bucket(1, unit, key_, text_, twice.astype(np.uint8), buckets))
-        # the anchors' different segments, then the anchors
-        a, t, twice = _once(anchor, text, no)
-        at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
-        if len(at):
-            several = np.diff(np.r_[at, len(a)]) > 1
-            rows += _by_bucket(0, unit, a[at], np.where(several, U64(0), t[at]), (several | np.logical_or.reduceat(twice, at)).astype(np.uint8), buckets)
+        unit, rows = key[0].as_py(), []
+        found: list[list[tuple]] = [[] for _ in lanes]
+        for _, _, _, before, segments in _chunks(texts, lanes):
+            for own, s in zip(found, segments, strict=True):
+                own.append((s.anchor, s.text, s.key, s.row + before))
+        for i, (lane, own) in enumerate(zip(lanes, found, strict=True)):
+            if not own:
+                continue
+            anchor, text, seg, row = (np.concatenate([f[k] for f in own]) for k in range(4))
+            main, side, twice, _, _ = _once(seg, text, row, lane.across)
+            rows += _by_bucket(KINDS * i + 1, unit, main, side, twice.astype(np.uint8), buckets)
+            # the anchors' different segments, then the anchors
+            a, t, twice, low, high = _once(anchor, text, row, lane.across)
+            at, _ = _groups(a)
+            if len(at):
+                several = np.diff(np.r_[at, len(a)]) > 1
+                again = (np.minimum.reduceat(low, at) != np.maximum.reduceat(high, at)) if lane.across else several | np.logical_or.reduceat(twice, at)
+                rows += _by_bucket(KINDS * i, unit, a[at], np.where(several, U64(0), t[at]), again.astype(np.uint8), buckets)
         return _table(rows, DIGIT_SCHEMA)
 
     return run
@@ -165,40 +201,46 @@ def _groups(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _answers(said: str, unit: np.ndarray, main: np.ndarray) -> list[tuple]:
+def _answers(lane: int, said: str, unit: np.ndarray, main: np.ndarray) -> list[tuple]:
     order = np.argsort(unit, kind="stable")
     unit, main = unit[order], main[order]
     cuts = np.flatnonzero(np.diff(unit)) + 1
-    return [(int(unit[a]), said, main[a:b].tobytes()) for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(unit)].tolist(), strict=True) if b > a]
+    return [(int(unit[a]), lane, said, main[a:b].tobytes()) for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(unit)].tolist(), strict=True) if b > a]
 
 
 def _sort_first(_: tuple, table: pa.Table) -> pa.Table:
-    """Which anchors are repeated, alike or with different segments, and which segments."""
+    """Which anchors are repeated, alike or with different segments, and which segments, in each lane."""
+    lanes = sorted({kind // KINDS for kind in table["kind"].to_pylist()})
+    return _table([row for lane in lanes for row in _sorted_lane(lane, table)], ANSWER_SCHEMA)
+
+
+def _sorted_lane(lane: int, table: pa.Table) -> list[tuple]:
     rows: list[tuple] = []
-    main, side, flags, unit = _gathered(table, 0, np.uint64)
+    main, side, flags, unit = _gathered(table, KINDS * lane, np.uint64)
     if len(main):
         at, group = _groups(main)
         count = np.diff(np.r_[at, len(main)]) + np.maximum.reduceat(flags, at)
         mixed_ = (np.minimum.reduceat(side, at) != np.maximum.reduceat(side, at)) | (np.minimum.reduceat(side, at) == 0)
         again = (count > 1)[group]
-        rows += _answers(ALIKE, unit[again & ~mixed_[group]], main[again & ~mixed_[group]])
-        rows += _answers(MIXED, unit[again & mixed_[group]], main[again & mixed_[group]])
-    main, side, flags, unit = _gathered(table, 1, np.uint64)
+        rows += _answers(lane, ALIKE, unit[again & ~mixed_[group]], main[again & ~mixed_[group]])
+        rows += _answers(lane, MIXED, unit[again & mixed_[group]], main[again & mixed_[group]])
+    main, side, flags, unit = _gathered(table, KINDS * lane + 1, np.uint64)
     if len(main):
         at, group = _groups(main, side)
         again = (np.diff(np.r_[at, len(main)]) + np.maximum.reduceat(flags, at) > 1)[group]
         first = np.zeros(len(main), bool)
         first[at] = True
-        rows += _answers(FIRST, unit[again & first], main[again & first])
-        rows += _answers(COPY, unit[again & ~first], main[again & ~first])
-    return _table(rows, ANSWER_SCHEMA)
+        rows += _answers(lane, FIRST, unit[again & first], main[again & first])
+        rows += _answers(lane, COPY, unit[again & ~first], main[again & ~first])
+    return rows
 
 
-def _told(answers: pa.Table) -> dict[str, np.ndarray]:
-    out: dict[str, list] = {}
-    for said, main in zip(answers["said"].to_pylist(), answers["main"].to_pylist(), strict=True):
-        out.setdefault(said, []).append(np.frombuffer(main, np.uint64))
-    return {said: np.unique(np.concatenate(x)) for said, x in out.items()}
+def _told(answers: pa.Table, lanes: int) -> list[dict[str, np.ndarray]]:
+    """What is said of digits, in each lane."""
+    out: list[dict[str, list]] = [{} for _ in range(lanes)]
+    for lane, said, main in zip(answers["lane"].to_pylist(), answers["said"].to_pylist(), answers["main"].to_pylist(), strict=True):
+        out[lane].setdefault(said, []).append(np.frombuffer(main, np.uint64))
+    return [{said: np.unique(np.concatenate(x)) for said, x in own.items()} for own in out]
 
 
 _NONE = np.zeros(0, np.uint64)
@@ -212,63 +254,76 @@ def _standing(s: Segments, told: dict[str, np.ndarray]) -> tuple[np.ndarray, np.
     return alike | first | copy, first, mixed_ & ~first & ~copy
 
 
-def _last_digits(length: int, gram: int, buckets: int):
+def _last_digits(lanes: list[Lane], buckets: int):
     """The windows of a unit that the third pass sorts (kind 2); flag 1: it wants to know, 2: it is there twice."""
 
     def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        told = _told(answers)
-        mains, sides, flags = [], [], []
-        if MIXED in told:
-            for _, _, _, s in _chunks(texts, length, gram):
-                _, first, alone = _standing(s, told)
+        told, rows = _told(answers, len(lanes)), []
+        found: list[list[tuple]] = [[] for _ in lanes]
+        wanted = [MIXED in own for own in told]
+        for _, _, _, before, segments in _chunks(texts, [lane for lane, x in zip(lanes, wanted, strict=True) if x]) if any(wanted) else ():
+            for i, s in zip(np.flatnonzero(wanted).tolist(), segments, strict=True):
+                _, first, alone = _standing(s, told[i])
                 for which, flag in ((first, 2), (alone, 1)):
                     which = np.flatnonzero(which)
                     if len(which):
                         _, own = s.windows(which)
-                        mains.append(own)
-                        sides.append(np.repeat((s.anchor[which] & HASH32).astype(np.uint32), s.end[which] - s.start[which]))
-                        flags.append(np.full(len(own), flag, np.uint8))
-        if not mains:
-            return _table([], DIGIT_SCHEMA)
-        main, side, flag = np.concatenate(mains), np.concatenate(sides), np.concatenate(flags)
-        order = np.lexsort((side, main))
-        main, side, flag = main[order], side[order], flag[order]
-        at, _ = _groups(main, side)
-        twice = np.diff(np.r_[at, len(main)]) > 1
-        flag = np.bitwise_or.reduceat(flag, at) | np.where(twice, 2, 0).astype(np.uint8)
-        return _table(list(_by_bucket(2, key[0].as_py(), main[at], side[at], flag, buckets)), DIGIT_SCHEMA)
+                        size = s.end[which] - s.start[which]
+                        found[i].append((own, np.repeat((s.anchor[which] & HASH32).astype(np.uint32), size), np.full(len(own), flag, np.uint8), np.repeat(s.row[which] + before, size)))
+        for i, (lane, own) in enumerate(zip(lanes, found, strict=True)):
+            if own:
+                main, side, flag, row = (np.concatenate([f[k] for f in own]) for k in range(4))
+                order = np.lexsort((row, side, main))
+                main, side, flag, row = main[order], side[order], flag[order], row[order]
+                at, _ = _groups(main, side)
+                last = np.r_[at[1:], len(main)] - 1
+                twice = row[at] != row[last] if lane.across else last > at
+                flag = np.bitwise_or.reduceat(flag, at) | np.where(twice, 2, 0).astype(np.uint8)
+                rows += _by_bucket(KINDS * i + 2, key[0].as_py(), main[at], side[at], flag, buckets)
+        return _table(rows, DIGIT_SCHEMA)
 
     return run
 
 
 def _sort_last(_: tuple, table: pa.Table) -> pa.Table:
-    main, side, flags, unit = _gathered(table, 2, np.uint32)
-    if not len(main):
-        return _table([], ANSWER_SCHEMA)
-    at, group = _groups(main, side)
-    count = np.diff(np.r_[at, len(main)]) + (np.bitwise_or.reduceat(flags, at) & 2 > 0)
-    again = (count > 1)[group] & (flags & 1 > 0)
-    return _table(_answers(REPEATED, unit[again], main[again]), ANSWER_SCHEMA)
+    rows: list[tuple] = []
+    for kind in sorted(set(table["kind"].to_pylist())):
+        main, side, flags, unit = _gathered(table, kind, np.uint32)
+        at, group = _groups(main, side)
+        count = np.diff(np.r_[at, len(main)]) + (np.bitwise_or.reduceat(flags, at) & 2 > 0)
+        again = (count > 1)[group] & (flags & 1 > 0)
+        rows += _answers(kind // KINDS, REPEATED, unit[again], main[again])
+    return _table(rows, ANSWER_SCHEMA)
+
 
+def _covered(n: int, s: Segments, told: dict[str, np.ndarray]) -> np.ndarray:
+    """Which of a chunk's n bytes or words a repeated window covers."""
+    cover = np.zeros(n + 1, np.int64)
+    if told:
+        whole, _, alone = _standing(s, told)
+        np.add.at(cover, s.start[whole], 1)
+        np.add.at(cover, s.end[whole] - 1 + s.length, -1)
+        if alone.any() and REPEATED in told:
+            at, own = s.windows(np.flatnonzero(alone))
+            at = at[np.isin(own, told[REPEATED])]
+            cover[at] += 1  # places differ
+            cover[at + s.length] -= 1
+    return np.cumsum(cover[:-1]) > 0
 
-KEPT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-KEPT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
+KEPT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, n_shared_words long"
+KEPT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("n_shared_words", pa.int64())])
 
-def _cut(length: int, gram: int):
+
+def _cut(lanes: list[Lane]):
     def run(_: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        told, out = _told(answers), []
-        for rows, data, offsets, s in _chunks(texts, length, gram):
-            cover = np.zeros(len(data) + 1, np.int64)
-            whole, _, alone = _standing(s, told) if told else (np.zeros(len(s.start), bool),) * 3
-            np.add.at(cover, s.start[whole], 1)
-            np.add.at(cover, s.end[whole] - 1 + length, -1)
-            if alone.any() and REPEATED in told:
-                at, own = s.windows(np.flatnonzero(alone))
-                at = at[np.isin(own, told[REPEATED])]
-                cover[at] += 1  # places differ
-                cover[at + length] -= 1
-            gone = np.cumsum(cover[:-1]) > 0
+        told, out = _told(answers, len(lanes)), []
+        for rows, data, offsets, _, segments in _chunks(texts, lanes):
+            gone = _covered(len(data), segments[0], told[0])
+            shared: list = [None] * rows.num_rows
+            if len(lanes) > 1:
+                first = segments[1].offsets
+                shared = np.diff(np.r_[0, np.cumsum(_covered(int(first[-1]), segments[1], told[1]))][first]).tolist()
             begin, end = gone & ~np.r_[False, gone[:-1]], gone & ~np.r_[gone[1:], False]
             inner = offsets[1:-1]
             inner = inner[(inner > 0) & (inner < len(data))]
@@ -282,32 +337,37 @@ def _cut(length: int, gram: int):
                 own = slice(first[i], first[i + 1]) if b > a else slice(0, 0)
                 spans = [{"start": x - a, "end": y - a} for x, y in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
                 text = data[a:b]
-                out.append((name, b - a, spans, (text[~gone[a:b]] if spans else text).tobytes()))
+                out.append((name, b - a, spans, (text[~gone[a:b]] if spans else text).tobytes(), shared[i]))
         return _table(out, KEPT_SCHEMA)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int | None = None, unit_bytes: int = UNIT_BYTES) -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs of bytes) and kept (the other bytes) of every row of docs(doc_id, text)."""
+def remove_repeats(docs: DataFrame, *, length: int = 400, gram: int | None = None, unit_bytes: int = UNIT_BYTES, passage_words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (removed runs of bytes) and kept (the other bytes) of every row of docs(doc_id, text).
+
+    passage_words: n_shared_words then has the words of the row inside a run of so many words that another row has, too;
+    else it is null.  Words are what white space divides.
+    """
     gram = gram or length // 2
     if not 1 <= gram <= length:
         raise ValueError("a gram is a part of the length")
+    lanes = [Lane(length, gram)] + ([Lane(passage_words, max(1, passage_words // 2), words=True, across=True)] if passage_words else [])
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     units, buckets = max(8, -(-total // unit_bytes)), max(16, -(-total // (2 * unit_bytes)))
     texts = plain.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).alias("unit"), "doc_id", "text")
-    digits = texts.groupBy("unit").applyInArrow(_first_digits(length, gram, buckets), DIGITS)
+    digits = texts.groupBy("unit").applyInArrow(_first_digits(lanes, buckets), DIGITS)
     answers = digits.groupBy("bucket").applyInArrow(_sort_first, ANSWERS)
-    windows = texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_last_digits(length, gram, buckets), DIGITS)
+    windows = texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_last_digits(lanes, buckets), DIGITS)
     more = windows.groupBy("bucket").applyInArrow(_sort_last, ANSWERS)
     both = answers.union(more)
-    return texts.groupBy("unit").cogroup(both.groupBy("unit")).applyInArrow(_cut(length, gram), KEPT)
+    return texts.groupBy("unit").cogroup(both.groupBy("unit")).applyInArrow(_cut(lanes), KEPT)
 
 
-def digests(kept: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 from remove_repeats' rows."""
+def digests(kept: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and more of its columns) from remove_repeats' rows."""
     return kept.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), *more,
     )
