@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def use_shared_dir(spark: SparkSession) -> str:
@@ -27,3 +27,11 @@ def use_shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else has."""
     return f"{use_shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like this one that no column has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
