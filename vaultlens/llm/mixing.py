@@ -13,7 +13,8 @@ of all documents share is ranked in many tasks.
 
 Defined results: a null text has size 0; sources are ordered by code point with null last; weights repeat over them in
 that order; documents of size 0 are taken as often as their source has whole passes; repeated rows are documents of
-their own, those of one id being taken or left together; an empty table gives no rows; other columns never take part.
+their own, those of one id being taken or left together; an empty table gives no rows; other columns never take part:
+repeat_sources keeps them, mix_sources leaves out those that are called like what it adds.
 """
 
 from __future__ import annotations
@@ -103,29 +104,57 @@ def targets(sources: list[tuple[str | None, int]], weights: Sequence[int], max_e
         fixed |= {i: float(max_epochs * sources[i][1]) for i in above}
 
 
+def _aims(sources: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
+    """(source, source_size, target) of sources(source, source_size): the rule of targets(), on a table.
+
+    A source's weight goes by its place in the whole order: places within ranges, and the ranges' counts before.
+    """
+    spark = sources.sparkSession
+    order = F.col("source").asc_nulls_last()
+    dealt = sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()).checkpoint()
+    counts = sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect())  # one a partition
+    before, at = [], 0
+    for part, n in counts:
+        before.append((part, at))
+        at += n
+    offsets = spark.createDataFrame(before, "part int, before long")
+    place = F.row_number().over(W.partitionBy("part").orderBy(order)) - 1 + F.col("before")
+    share = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    shares = dealt.join(F.broadcast(offsets), "part").select("source", "source_size", share.alias("share")).checkpoint()
+    cap = (F.col("source_size") * max_epochs).cast("double")
+    total = float(sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    want, capped = F.lit(0.0), F.lit(False)
+    while True:  # a round caps at least one source more
+        fixed, by, n = shares.agg(F.coalesce(F.sum(F.when(capped, cap)), F.lit(0.0)), F.coalesce(F.sum(F.when(~capped, F.col("share"))), F.lit(0.0)), F.count(F.when(~capped, 1))).first()
+        if not n:
+            break
+        want = F.lit(total - fixed) * F.col("share") / F.lit(by)
+        if shares.where(~capped & (want > cap)).isEmpty():
+            break
+        capped = capped | (want > cap)
+    return shares.select("source", "source_size", F.when(capped, cap).otherwise(want).alias("target"))
+
+
 def plan_mix(docs: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
     """(source, size, n_docs, source_size, target, passes, take): passes over all documents, and take of a size once more.
 
-    docs(source, size).  The totals of the sources come to the driver; there are as many as sources.
+    docs(source, size).  The sources stay a table.
     """
     counted = docs.groupBy("source", "size").agg(F.count("*").alias("n_docs"))
-    rows = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n_docs")).alias("source_size")).collect()
-    known = sorted(((r["source"], int(r["source_size"])) for r in rows), key=lambda x: (x[0] is None, x[0] or ""))
-    aims = dict(zip((s for s, _ in known), targets(known, weights, max_epochs), strict=True))
-    totals = dict(known)
+    sources = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n_docs")).alias("source_size")).checkpoint()
+    aims = _aims(sources, weights, max_epochs)
+    aimed = counted.alias("l").join(aims.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.source_size", "r.target")
 
     def per_source(own: pd.DataFrame) -> pd.DataFrame:
-        source = own["source"].iloc[0]
-        source = None if pd.isna(source) else source
         own = own.sort_values("size", ignore_index=True)
-        size, aim = totals[source], aims[source]
+        size, aim = int(own["source_size"].iloc[0]), float(own["target"].iloc[0])
         passes = min(max_epochs, int(aim // size)) if size else 1
         budget = round(aim) - passes * size if passes < max_epochs and size else 0
         take = fit_budget(own["size"].tolist(), own["n_docs"].tolist(), budget)
-        return own.assign(source_size=size, target=aim, passes=passes, take=take)
+        return own.assign(passes=passes, take=take)
 
     schema = "source string, size long, n_docs long, source_size long, target double, passes int, take long"
-    return counted.groupBy("source").applyInPandas(per_source, schema)
+    return aimed.groupBy("source").applyInPandas(per_source, schema)
 
 
 def _same() -> Column:
@@ -133,24 +162,25 @@ def _same() -> Column:
 
 
 def _with_plan(left: DataFrame, right: DataFrame, few: bool, salts: int) -> DataFrame:
-    """left and its plan row: a broadcast of counted few rows, else a join salted over the documents of a key."""
+    """left and its plan row: a broadcast of counted few rows, else a join salted over the documents of a key.
+
+    left: source, size and doc_id, beside other columns of any name if these are in a struct.
+    """
     if few:
         return left.alias("l").join(F.broadcast(right.alias("r")), _same(), "left")
-    left = left.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.alias("l").join(right.alias("r"), _same() & (F.col("l.__salt") == F.col("r.__salt")), "left")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.alias("l").join(right.alias("r"), _same() & (F.col("l.salt") == F.col("r.salt")), "left")
 
 
-def mix_sources(
-    docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 17, slice_rows: int = 256, salts: int = 16,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (copies times size); a document not taken has copies 0.
+#: What mix_sources adds; columns of the documents that are called so are left out.
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
-    docs(doc_id, text, source, ...).  Texts are never shuffled while the plan has few rows.
-    """
+
+def _mixed(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: int, slice_rows: int, salts: int, broadcast_rows: int) -> DataFrame:
+    """row (a struct of all columns of docs) and the columns ADDED."""
     use_shared_dir(docs.sparkSession)
-    sized = docs.withColumn("size", n_words(F.col("text")))
+    sized = docs.select("source", n_words(F.col("text")).alias("size"), "doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     # Sizes and ids, without texts, are counted and ranked: written once, so that texts are read twice in all.
     known = sized.select("source", "size", "doc_id").checkpoint()
@@ -180,6 +210,25 @@ def mix_sources(
     cut = F.struct(F.col("r.cut_slice").alias("a"), F.col("r.cut_draw").alias("b"), F.col("r.cut_id").alias("c"))
     more = F.when(F.col("r.take") <= 0, 0).when(F.col("r.take") >= F.col("r.n_docs"), 1).otherwise((at <= cut).cast("int"))
     copies = F.col("r.passes") + more
-    return _with_plan(sized, plan, few, salts).select(
-        *(F.col(f"l.{c}") for c in sized.columns), "r.source_size", "r.target", copies.alias("copies"), (copies * F.col("l.size")).alias("taken")
-    )
+    return _with_plan(sized, plan, few, salts).select("l.row", "l.size", "r.source_size", "r.target", copies.alias("copies"), (copies * F.col("l.size")).alias("taken"))
+
+
+def mix_sources(
+    docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 17, slice_rows: int = 256, salts: int = 16,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """docs with size, source_size, target, copies and taken (copies times size); a document not taken has copies 0.
+
+    docs(doc_id, text, source, ...).  Texts are never shuffled while the plan has few rows.
+    """
+    mixed = _mixed(docs, weights, max_epochs, seed, slice_rows, salts, broadcast_rows)
+    return mixed.select(*(F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ADDED), *ADDED)
+
+
+def repeat_sources(
+    docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 17, slice_rows: int = 256, salts: int = 16,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The mix itself: every row of docs, with all its columns and no others, as often as the mix takes it."""
+    mixed = _mixed(docs, weights, max_epochs, seed, slice_rows, salts, broadcast_rows).where(F.col("copies") > 0)
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"row.`{c}`") for c in docs.columns))
