@@ -1,42 +1,5 @@
-"""Connected components by alternating star contraction, all as joins and aggregations."""
+"""Connected components: the one contraction of the library, in which a hub's edges are spread over many tasks."""
 
-from __future__ import annotations
+from vaultlens.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .shared import use_shared_dir
-
-
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node is tied to the least of the node and its neighbours."""
-    near = _both(edges)
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour below a node, and the node, are tied to the least neighbour.  Needs u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    low = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return low.union(least.select("u", F.col("m").alias("v")))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges(u, v) that isn't its component's least, which is the root.
-
-    Each round is written to the shared folder; rounds grow with the logarithm of the longest path.
-    """
-    use_shared_dir(edges.sparkSession)
-    now = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    state = None
-    while True:
-        now = _small_star(_large_star(now)).where(F.col("u") != F.col("v")).distinct().checkpoint()
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
-        if mark == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = mark
+__all__ = ["components"]
