@@ -9,7 +9,7 @@ one, and up to ``history`` turns before the new ones while these stay within a s
 assistant turns are under the loss mask: what a window repeats is masked out, so each target is learnt once.
 
 Rows are dealt by conversation, sorted within their partition and streamed, so a conversation of any length takes memory
-for one window only.
+for one window only; so are windows when they are read back, since files keep no order across their splits.
 
 Defined results: null text or role reads as empty; turns are ordered by turn (null first), then role and text, so ties
 and repeated rows have one order and each row is a turn; a turn longer than the budget is a window of its own, uncut; a
@@ -154,7 +154,7 @@ def parse_window(text: str) -> list[tuple[str, str]]:
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its windows alone (in the order format_conversations leaves them)."""
+    """Digests of each conversation, from its windows alone, in whatever order and partitions these are."""
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,4 +183,5 @@ def read_back(windows: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return windows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    dealt = windows.select("conv_id", "window", "n_repeated", "text", "spans").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")

@@ -74,13 +74,15 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation, read back from its formatted windows."""
+    """Digests of every conversation, read back from the files that its formatted windows are written to."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"),
     )
-    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(hostile)))
+    path = new_folder(spark, "windows")
+    chat_format.format_conversations(turns.unionByName(hostile)).write.parquet(path)
+    return chat_format.read_back(spark.read.parquet(path))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
