@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .spans import Settings, hits_of, normal_text
+from .spans import Detector, Settings, hits_of, normal_text, wanted
 
 HITS = (
     "file_id string, norm_idx int, family string, category string, detector_id string, confidence string, validation string, start int, end int, "
@@ -32,18 +34,42 @@ def numbered(chunks: DataFrame, settings: Settings) -> DataFrame:
     return filled.withColumn("place", place).where(F.col("place") <= settings.max_chunks).select("file_id", "raw_idx", (F.col("place") - 1).alias("norm_idx"), "text")
 
 
-def find_hits(chunks: DataFrame, settings: Settings) -> DataFrame:
-    """Every hit of chunks(file_id, raw_idx, text), with raw and normalised values, which no sink may show."""
+#: Texts with other characters may change when they are normalised: no gate holds for them.
+STABLE = r"^[\x00-\x7F\u00AB\u00BB\u00C0-\u00FF\u0400-\u045F\u2013\u2014\u2018\u2019\u201C-\u201E]*+$"
+
+
+def may_have(text: Column, detectors: list[Detector]) -> Column:
+    """Whether a detector could find anything in a text, by what the text must have for it; decided in the JVM."""
+    low = F.lower(text)
+    # blanks may differ before normalising, so of an entry only its longest word counts
+    longest = lambda entry: max(entry.split(), key=len)
+    has = lambda group: reduce(or_, (F.contains(low, F.lit(w)) for w in sorted({longest(x) for x in group})))
+    one = lambda g: reduce(and_, [*([low.rlike(g.pattern)] if g.pattern else []), *map(has, g.groups)])
+    return reduce(or_, (one(d.gate) for d in detectors), F.lit(False)) | ~text.rlike(STABLE)
+
+
+def hits_in(chunks: DataFrame, settings: Settings, categories: tuple[str, ...] | None = None) -> DataFrame:
+    """Every hit of chunks(file_id, norm_idx, text).  Only chunks that may have any leave the JVM."""
+    detectors = wanted(settings, categories)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for file_id, index, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(file_id, index, *(h[name] for name, _ in HIT_FIELDS)) for h in hits_of(normal_text(text), index, settings)]
+                out += [(file_id, index, *(h[name] for name, _ in HIT_FIELDS)) for h in hits_of(normal_text(text), index, settings, detectors)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), HIT_SCHEMA.types, strict=True)], schema=HIT_SCHEMA)
 
-    return numbered(chunks, settings).select("file_id", "norm_idx", "text").mapInArrow(run, HITS)
+    found = chunks.where(may_have(F.col("text"), detectors)).select("file_id", "norm_idx", "text").mapInArrow(run, HITS)
+    return found if categories is None else found.where(F.col("category").isin(*categories))
+
+
+def find_hits(chunks: DataFrame, settings: Settings, categories: tuple[str, ...] | None = None) -> DataFrame:
+    """Every hit of chunks(file_id, raw_idx, text), with raw and normalised values, which no sink may show.
+
+    categories: only these are looked for, by the detectors that can find them.
+    """
+    return hits_in(numbered(chunks, settings), settings, categories)
 
 
 def deduplicate(hits: DataFrame) -> DataFrame:

@@ -199,25 +199,50 @@ def labelled(text: str, labels: tuple[str, ...]) -> str | None:
     return found[1].strip() if found else None
 
 
-Detector = Callable[[Chunk], Iterator[Find]]
-DETECTORS: dict[str, list[Detector]] = {family: [] for family in FAMILIES}
+@dataclass(frozen=True)
+class Gate:
+    """What a text must have for a detector to find anything: one entry of each group, and the pattern.
+
+    Groups and patterns are held against texts in lower case before they are normalised, so they are necessary conditions only.
+    """
+
+    groups: tuple[tuple[str, ...], ...] = ()
+    pattern: str | None = None
+
+
+@dataclass(frozen=True)
+class Detector:
+    find: Callable[[Chunk], Iterator[Find]]
+    family: str
+    categories: tuple[str, ...]
+    gate: Gate
 
 
-def detector(family: str):
-    def keep(f: Detector) -> Detector:
-        DETECTORS[family].append(f)
+DETECTORS: list[Detector] = []
+
+
+def detector(family: str, *categories: str, words: tuple[tuple[str, ...], ...] = (), pattern: str | None = None):
+    """Registers a detector of some categories."""
+
+    def keep(f: Callable[[Chunk], Iterator[Find]]) -> Callable[[Chunk], Iterator[Find]]:
+        DETECTORS.append(Detector(f, family, categories, Gate(words, pattern)))
         return f
 
     return keep
 
 
-@detector("ordinary")
+def wanted(s: Settings, categories: tuple[str, ...] | None = None) -> list[Detector]:
+    """The detectors that can find one of the categories (None: any)."""
+    return [d for d in DETECTORS if (s.sensitive or d.family != FAMILIES[-1]) and (categories is None or set(categories) & set(d.categories))]
+
+
+@detector("ordinary", "email", pattern="@")
 def emails(c: Chunk) -> Iterator[Find]:
     for m in RE["email"].finditer(c.text):
         yield Find("ordinary", "email", "ordinary.email.regex", HIGH, VALID, m[0], m[0].lower(), m.start(), m.end(), [])
 
 
-@detector("ordinary")
+@detector("ordinary", "phone", words=(L.PHONE_KEYWORDS,), pattern=r"(?s)(?:\d\D*+){10}")
 def phones(c: Chunk) -> Iterator[Find]:
     seen = set()
     for kind in ("phone", "intl"):
@@ -246,7 +271,7 @@ def name_candidates(text: str) -> list[str]:
     return list(dict.fromkeys(tidy(v) for v in direct + triples + after if person_name(v)))
 
 
-@detector("ordinary")
+@detector("ordinary", "person_name", words=(L.NAME_KEYWORDS,))
 def person_names(c: Chunk) -> Iterator[Find]:
     words = c.words(L.NAME_KEYWORDS)
     if not words or (words == ["name"] and not c.words(L.PERSON_MARKERS)):
@@ -256,7 +281,7 @@ def person_names(c: Chunk) -> Iterator[Find]:
         yield Find("ordinary", "person_name", "ordinary.person_name.context", HIGH, UNKNOWN, value, value.lower(), at, at + len(value), words)
 
 
-@detector("ordinary")
+@detector("ordinary", "address", words=(L.ADDRESS_KEYWORDS,))
 def addresses(c: Chunk) -> Iterator[Find]:
     words = c.words(L.ADDRESS_KEYWORDS)
     if not words:
@@ -272,7 +297,7 @@ def addresses(c: Chunk) -> Iterator[Find]:
         yield Find("ordinary", "address", "ordinary.address.context", HIGH, UNKNOWN, value, value.lower(), start, end, words)
 
 
-@detector("ordinary")
+@detector("ordinary", "birth_place", words=(L.BIRTH_PLACE_KEYWORDS,))
 def birth_places(c: Chunk) -> Iterator[Find]:
     words = c.words(L.BIRTH_PLACE_KEYWORDS)
     value = labelled(c.text, L.BIRTH_PLACE_KEYWORDS) if words else None
@@ -282,7 +307,7 @@ def birth_places(c: Chunk) -> Iterator[Find]:
         yield Find("ordinary", "birth_place", "ordinary.birth_place.context", MEDIUM, UNKNOWN, own, own.lower(), max(at, 0), end, words)
 
 
-@detector("ordinary")
+@detector("ordinary", "birth_date", words=(L.BIRTH_DATE_KEYWORDS,), pattern=r"\d{4}")
 def birth_dates(c: Chunk) -> Iterator[Find]:
     words = c.words(L.BIRTH_DATE_KEYWORDS)
     m = RE["date"].search(c.text) if words else None
@@ -300,18 +325,18 @@ def _checked(c: Chunk, kind: str, words: list[str], fine: Callable[[str], bool],
             yield Find(family, category(own), name, HIGH if ok else LOW, VALID if ok else INVALID, m[0], own, *m.span(), words)
 
 
-@detector("government")
+@detector("government", "snils", pattern=r"\d{3}-\d{3}-\d{3}|\d{11}")
 def snils_numbers(c: Chunk) -> Iterator[Find]:
     yield from _checked(c, "snils", c.words(("снилс", "snils")), snils_ok, "government", lambda _: "snils", "government.snils.regex")
 
 
-@detector("government")
+@detector("government", "inn_legal_entity", "inn_individual", pattern=r"\d{10}")
 def tax_numbers(c: Chunk) -> Iterator[Find]:
     category = lambda own: "inn_legal_entity" if len(own) == 10 else "inn_individual"
     yield from _checked(c, "inn", c.words(("инн", "inn")), inn_ok, "government", category, "government.inn.regex")
 
 
-@detector("government")
+@detector("government", "passport_series_number", "passport_series", "passport_number", words=(L.PASSPORT_KEYWORDS,), pattern=r"\d{2}")
 def passports(c: Chunk) -> Iterator[Find]:
     for m in RE["passport"].finditer(c.text):
         near = c.around(*m.span(), 30, 12).lower()
@@ -326,21 +351,24 @@ def passports(c: Chunk) -> Iterator[Find]:
             yield Find("government", category, f"government.passport.{kind}", MEDIUM, VALID, m[1], only_digits(m[1]), *m.span(1), words)
 
 
-@detector("government")
+LICENSE_WORDS = ("водительское", "вод.", "driver", "driving", "ву")
+
+
+@detector("government", "driver_license", words=(LICENSE_WORDS,), pattern=r"\d{2}")
 def driver_licenses(c: Chunk) -> Iterator[Find]:
     if RE["license_context"].search(c.low):
         for m in RE["license"].finditer(c.text):
             yield Find("government", "driver_license", "government.driver_license.context", MEDIUM, UNKNOWN, m[0], only_digits(m[0]), *m.span(), ["driver_license_context"])
 
 
-@detector("government")
+@detector("government", "mrz", pattern="(?:p<|i<|id)[a-z0-9<]{28}")
 def machine_zones(c: Chunk) -> Iterator[Find]:
     for m in RE["mrz"].finditer(c.text):
         fine = 30 <= len(m[0]) <= 44 and m[0].startswith(("P<", "I<", "ID", "PN")) and "<" in m[0]
         yield Find("government", "mrz", "government.mrz.regex", HIGH if fine else LOW, VALID if fine else INVALID, m[0], m[0], *m.span(), ["mrz"])
 
 
-@detector("payment")
+@detector("payment", "bank_card", pattern=r"(?:\d[\s\x0B\x1C-\x1F-]*+){13}")
 def cards(c: Chunk) -> Iterator[Find]:
     for m in RE["card"].finditer(c.text):
         own = only_digits(m[0])
@@ -351,14 +379,14 @@ def cards(c: Chunk) -> Iterator[Find]:
             yield Find("payment", "bank_card", "payment.card.regex", HIGH if fine else LOW, VALID if fine else INVALID, m[0], own, *m.span(), words)
 
 
-@detector("payment")
+@detector("payment", "bik", words=(L.BIK_KEYWORDS,), pattern=r"\d{9}")
 def bank_codes(c: Chunk) -> Iterator[Find]:
     words = c.words(L.BIK_KEYWORDS)
     if words:
         yield from _checked(c, "nine", words, lambda own: own != "0" * 9, "payment", lambda _: "bik", "payment.bik.context")
 
 
-@detector("payment")
+@detector("payment", "bank_account", words=(L.ACCOUNT_KEYWORDS,), pattern=r"\d{20}")
 def bank_accounts(c: Chunk) -> Iterator[Find]:
     words = c.words(L.ACCOUNT_KEYWORDS)
     if not words:
@@ -369,7 +397,7 @@ def bank_accounts(c: Chunk) -> Iterator[Find]:
         yield Find("payment", "bank_account", "payment.bank_account.context", HIGH if fine else MEDIUM, VALID if fine else UNKNOWN, m[0], m[0], *m.span(), words + (["бик"] if code else []))
 
 
-@detector("payment")
+@detector("payment", "cvv_cvc", words=(L.CVV_KEYWORDS, L.CARD_KEYWORDS), pattern=r"\d{3}")
 def card_codes(c: Chunk) -> Iterator[Find]:
     words = c.words(L.CVV_KEYWORDS)
     if words and c.words(L.CARD_KEYWORDS):
@@ -377,7 +405,7 @@ def card_codes(c: Chunk) -> Iterator[Find]:
             yield Find("payment", "cvv_cvc", "payment.cvv.context", MEDIUM, UNKNOWN, m[0], m[0], *m.span(), words)
 
 
-@detector("sensitive")
+@detector("sensitive", *(category for _, category, _ in L.LABELED_PATTERNS), words=(tuple(p for _, _, phrases in L.LABELED_PATTERNS for p in phrases),))
 def sensitive_phrases(c: Chunk) -> Iterator[Find]:
     about_someone = bool(c.words(L.SUBJECT_MARKERS))
     for family, category, phrases in L.LABELED_PATTERNS:
@@ -402,12 +430,13 @@ def normal_text(text: str) -> str:
     return tidy(unicodedata.normalize("NFKC", text))
 
 
-def hits_of(text: str, index: int, s: Settings) -> Iterator[dict]:
-    """The hits of one normalised chunk."""
+def hits_of(text: str, index: int, s: Settings, detectors: list[Detector] | None = None) -> Iterator[dict]:
+    """The hits of one normalised chunk; order_key counts what the detectors in use find."""
     c = Chunk(text, s)
-    for rank, family in enumerate(FAMILIES if s.sensitive else FAMILIES[:-1]):
+    own = wanted(s) if detectors is None else detectors
+    for rank, family in enumerate(FAMILIES):
         number = 0
-        for find in (f for d in DETECTORS[family] for f in d(c)):
+        for find in (f for d in own if d.family == family for f in d.find(c)):
             yield {
                 "family": find.family, "category": find.category, "detector_id": find.detector, "confidence": find.confidence,
                 "validation": find.validation, "start": find.start, "end": find.end, "raw_value": find.raw, "normalized_value": find.normalized,

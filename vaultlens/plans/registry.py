@@ -251,7 +251,7 @@ def detector_query(name: str, source: str, key: str, text: str, expected: str, *
 
     def run(spark, sf_dir):
         chunks = table(spark, sf_dir, source).select(F.col(key).cast("string").alias("file_id"), F.lit(0).alias("raw_idx"), F.expr(text).alias("text"))
-        hits = find_hits(chunks, SETTINGS).where(F.col("category").isin(*categories))
+        hits = find_hits(chunks, SETTINGS, categories)
         return hits.select(F.col("file_id").cast("long").alias(key), "category", F.col("normalized_value").alias("value"), "confidence", "validation")
 
     query(name, expected)(run)

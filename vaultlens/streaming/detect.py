@@ -5,27 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaultlens.operators.detect import HIT_FIELDS, HIT_SCHEMA, HITS
-from vaultlens.operators.spans import Settings, hits_of, normal_text
+from vaultlens.operators.detect import hits_in
+from vaultlens.operators.spans import Settings
 
 
 def stream_hits(chunks: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Hits of a streaming chunks(file_id, raw_idx, text); a file's chunk limit needs the whole file and isn't applied."""
-    s = settings or Settings()
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = [
-                (file_id, index, *(h[name] for name, _ in HIT_FIELDS))
-                for file_id, index, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for h in hits_of(normal_text(text or ""), index, s)
-            ]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), HIT_SCHEMA.types, strict=True)], schema=HIT_SCHEMA)
-
-    return chunks.select("file_id", F.col("raw_idx").cast("int"), "text").mapInArrow(run, HITS)
+    own = chunks.select("file_id", F.col("raw_idx").cast("int").alias("norm_idx"), F.coalesce("text", F.lit("")).alias("text"))
+    return hits_in(own, settings or Settings())
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
