@@ -806,6 +806,17 @@ def run_metrics(spark, sf_dir):
 @query("stream_windows", """
     SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def stream_windows(spark, sf_dir):
-    """The batch form of streaming.windowed_counts, over the same events."""
-    counts = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return counts.select(F.col("w.start").alias("start"), "event_type", "n")
+    """streaming.windowed_counts over the events as a stream, run until all that is there is read."""
+    import uuid
+
+    from vaultlens.session import use_shared_dir
+    from vaultlens.streaming.detect import windowed_counts
+
+    place = f"{use_shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    known = table(spark, sf_dir, "events").select("ts", "event_type").schema
+    # as a pattern: without one, a stream takes directories only
+    events = spark.readStream.schema(known).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = windowed_counts(events, "ts", "event_type")
+    written = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/out"))
+    written.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/out").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
