@@ -64,6 +64,8 @@ SPDX_IDS = {**{t: t for t in TEMPLATES}, "bsd-3-clause": "bsd-3-clause", "gpl-3.
 WHOLE_LEAST = 0.7
 #: Lines of a run; longer ones are scored as paragraphs and as the whole text.
 RUN_LINES = 8
+#: Terms whose document frequencies come to the driver, beside those of the templates.
+FREQUENT = 50_000
 NAMES_LICENCE = r"(?i)licen[cs]e|copyright|spdx|public domain|all rights reserved"
 LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)([.-].*)?$"
 TERM = r"[a-z0-9]+"
@@ -78,11 +80,12 @@ def directory_of(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
-def _runs(files: DataFrame, known: dict[str, dict[str, float]], idf: dict[str, float], least: float) -> DataFrame:
-    """path, line, n_all, terms of the runs of adjacent lines, paragraphs and whole texts that may reach least.
+def _runs(files: DataFrame, known: dict[str, dict[str, float]], needs: list[float], idf: dict[str, float], rare: float) -> DataFrame:
+    """path, line, n_all, terms of the runs of adjacent lines, paragraphs and whole texts that may reach a template's need.
 
-    A bound decides: a run's product with a template is the sum of its lines' products, and its norm is no less than that
-    of its words counted one by one, unknown ones with the least weight there is, 1.
+    Bounds decide: a run's product with a template is the sum of its lines' products, and its norm is no less than that
+    of its words counted one by one, those that aren't in idf with the least weight they can have, rare.  Of runs that
+    pass, the words are then counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +95,7 @@ def _runs(files: DataFrame, known: dict[str, dict[str, float]], idf: dict[str, f
             size = math.sqrt(sum(x * x for x in b.values()))
             for t, x in b.items():
                 value[at[t], j] = x * idf[t] / size
-        square = np.array([1.0, *(x * x for x in idf.values())])
+        square, need = np.array([rare * rare, *(x * x for x in idf.values())]), np.array(needs) - 1e-6
         term = re.compile(TERM)
         for batch in batches:
             out: list[tuple] = []
@@ -108,9 +111,16 @@ def _runs(files: DataFrame, known: dict[str, dict[str, float]], idf: dict[str, f
                 spans = {(a + 1, b) for a, b in zip(breaks, breaks[1:], strict=False) if b > a + 1} | {(0, len(lines))}
                 spans |= {(i, i + w) for w in range(1, RUN_LINES + 1) for i in range(len(lines) - w + 1)}
                 pairs = np.array(sorted(spans))
-                bound = (dot[pairs[:, 1]] - dot[pairs[:, 0]]).max(1) / np.sqrt(np.maximum(norm[pairs[:, 1]] - norm[pairs[:, 0]], 1e-9))
-                for a, b in pairs[bound >= least - 1e-6].tolist():
-                    if ends[b] > ends[a]:
+                size = np.sqrt(np.maximum(norm[pairs[:, 1]] - norm[pairs[:, 0]], 1e-9))
+                may = (dot[pairs[:, 1]] - dot[pairs[:, 0]] >= need * size[:, None]).any(1)
+                if not may.any():
+                    continue
+                names: dict[str, int] = {}
+                local = np.fromiter((names.setdefault(t, len(names)) for x in lines for t in x), np.int64, ends[-1])
+                weight = np.array([idf.get(t, rare) for t in names])
+                for a, b in pairs[may].tolist():
+                    own, tf = np.unique(local[ends[a] : ends[b]], return_counts=True)
+                    if len(own) and (dot[b] - dot[a] >= need * math.sqrt(((tf * weight[own]) ** 2).sum())).any():
                         out.append((path, a * 1_000_000_000 + b, int(ends[-1]), [t for x in lines[a:b] for t in x]))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())))], names=["path", "line", "n_all", "terms"])
 
@@ -123,21 +133,26 @@ def own_licences(files: DataFrame, *, least: float = 0.5) -> DataFrame:
     use_shared_dir(spark)
     named = files.where(F.col("text").rlike(NAMES_LICENCE) & F.col("path").isNotNull()).select("path", "text")
     lines = named.select("path", F.size(terms_of(F.col("text"))).alias("n_all"), F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.col("body").rlike(NAMES_LICENCE))
-    sections = lines.select("path", "line", "n_all", terms_of(F.col("body")).alias("terms")).where(F.size("terms") > 0).dropDuplicates(["path", "line", "terms"])
+    sections = lines.select("path", "line", "n_all", terms_of(F.col("body")).alias("terms")).where(F.size("terms") > 0).dropDuplicates(["path", "line", "terms"]).checkpoint()
     tf = sections.select("path", "line", F.explode("terms").alias("term")).groupBy("path", "line", "term").agg(F.count("*").alias("tf"))
     fixed = spark.createDataFrame(sorted(TEMPLATES.items()), "licence string, body string").select("licence", F.explode(terms_of(F.col("body"))).alias("term"))
     fixed_tf = fixed.groupBy("licence", "term").agg(F.count("*").alias("tf"))
     df = tf.select("term").union(fixed_tf.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = sections.count() + len(TEMPLATES)
-    idf = df.select("term", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    n, total = sections.agg(F.count("*"), F.coalesce(F.sum(F.size(F.array_distinct("terms"))), F.lit(0))).first()
+    n += len(TEMPLATES)
+    idf = df.select("term", "df", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")).checkpoint()
+    # terms of so many lines are at most FREQUENT and the templates' own, which bounds what comes to the driver
+    often = max(2, -(-total // FREQUENT))
     # the templates' terms are a fixed list, so what comes to the driver is bounded
     bodies = {f"{k}#{i}": (k, collections.Counter(re.findall(TERM, body.lower()))) for i, (k, body) in enumerate([*TEMPLATES.items(), *WHOLE])}
     terms = sorted({t for _, c in bodies.values() for t in c})
     held = spark.createDataFrame([(t,) for t in terms], "term string")
     weight = {t: math.log(n + 1.0) + 1.0 for t in terms} | {r["term"]: r["idf"] for r in idf.join(F.broadcast(held), "term").collect()}
+    frequent = weight | {r["term"]: r["idf"] for r in idf.where(F.col("df") >= often).select("term", "idf").collect()}
     vectors = {name: {t: k * weight[t] for t, k in c.items()} for name, (_, c) in bodies.items()}
-    known = spark.createDataFrame([(name, bodies[name][0], t, x, math.sqrt(sum(y * y for y in v.values())), least if int(name.split("#")[1]) < len(TEMPLATES) else max(least, WHOLE_LEAST)) for name, v in vectors.items() for t, x in v.items()], "name string, licence string, term string, b double, norm_b double, need double")
-    runs = _runs(files, vectors, weight, least).dropDuplicates(["path", "line", "terms"]).checkpoint()
+    need = {name: least if i < len(TEMPLATES) else max(least, WHOLE_LEAST) for i, name in enumerate(bodies)}
+    known = spark.createDataFrame([(name, bodies[name][0], t, x, math.sqrt(sum(y * y for y in v.values())), need[name]) for name, v in vectors.items() for t, x in v.items()], "name string, licence string, term string, b double, norm_b double, need double")
+    runs = _runs(files, vectors, list(need.values()), frequent, math.log((n + 1.0) / often) + 1.0).dropDuplicates(["path", "line", "terms"]).checkpoint()
     # document frequencies are of the lines that name a licence and the short forms; no other term has any
     run_tf = runs.select("path", "line", F.explode("terms").alias("term")).groupBy("path", "line", "term").agg(F.count("*").alias("tf"))
     weighed = run_tf.join(idf, "term", "left").select("path", "line", "term", (F.col("tf") * F.coalesce("idf", F.lit(math.log(n + 1.0) + 1.0))).alias("a"))
