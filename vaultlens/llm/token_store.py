@@ -11,12 +11,14 @@ One document is read by its block's index alone: the block is found by its range
 others), one frame is cut out by its offset and decompressed.
 
 The dictionary is trained on the serialized ids of at most ``sample_docs`` documents of at most ``sample_chars``
-characters, the first that are found; it only affects how small frames get.
+characters: those with the least seeded hash of id and text, wherever they lie, so that reruns train the same one; it
+only affects how small frames get.
 
 Encoding: a word (a run without ASCII white space) has the same ids wherever it stands, for tokenizers that lower case,
 normalise and split at white space, as those with word ends do; so words are encoded once and remembered, in a bounded
 table.
-``whole=True`` hands whole texts to the tokenizer instead, for any other kind.
+``whole=True`` hands whole texts to the tokenizer instead, for any other kind; a store does so too if the words of a
+document of that sample don't give what its whole text gives.
 
 Defined results: null text is empty and has the end id alone; rows go by doc_id (null first), then a hash of the text,
 each row being a document; an empty table makes a store without blocks; other columns never take part.
@@ -39,6 +41,7 @@ from .arrow_text import slices
 
 BLOCK_BYTES = 4_000_000
 REMEMBERED_WORDS = 600_000
+SAMPLE_SEED = 42
 #: ASCII marks: a run of them at the end of a word is a piece of its own after a letter.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCKS = (
@@ -196,9 +199,16 @@ def write_store(
 
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chosen = plain.where((F.length("text") > 0) & (F.length("text") <= sample_chars)).limit(sample_docs)
+    draw = F.xxhash64("doc_id", "text", F.lit(SAMPLE_SEED))
+    # only as many draws as the sample needs twice over are sorted, so that what comes to the driver doesn't grow
+    most = int((2 * sample_docs / max(docs.count(), 2 * sample_docs) - 0.5) * 2**64)
+    short = plain.where((F.length("text") > 0) & (F.length("text") <= sample_chars) & (draw <= min(most, 2**63 - 1)))
+    chosen = [r["text"].encode() for r in short.orderBy(draw, "doc_id", "text").limit(sample_docs).collect()]
     own = encoder(tokenizer, end_id, whole)
-    data = train_dictionary(own.encode([r["text"].encode() for r in chosen.collect()]))
+    sample = own.encode(chosen)
+    if not whole and sample != (plainly := encoder(tokenizer, end_id, True).encode(chosen)):
+        whole, sample = True, plainly
+    data = train_dictionary(sample)
     sha = hashlib.sha256(data).hexdigest()
     width = own.dtype.itemsize
     spark.createDataFrame([(bytearray(data), sha, width, end_id)], "dictionary binary, sha256 string, width int, end_id long").coalesce(1).write.parquet(f"{path}/dictionary")
