@@ -72,18 +72,28 @@ def find_hits(chunks: DataFrame, settings: Settings, categories: tuple[str, ...]
     return hits_in(numbered(chunks, settings), settings, categories)
 
 
+def places_of(hits: DataFrame) -> DataFrame:
+    """Every place of a value, a row each: a value may stand in a file any number of times."""
+    return hits.select(
+        "file_id", "family", "category", "value_hash", "order_key", F.col("norm_idx").alias("chunk_index"), F.col("start").alias("start_char"),
+        F.col("end").alias("end_char"), "fragment",
+    )
+
+
 def deduplicate(hits: DataFrame) -> DataFrame:
-    """One row for each (file, family, category, hash); null hashes are one value.  What isn't merged is the first hit's."""
+    """One row for each (file, family, category, hash); null hashes are one value.  What isn't merged is the first hit's.
+
+    Hints and keywords are gathered as different lists, which map-side partial sets keep short; places_of has the places.
+    """
     first = ("detector_id", "confidence", "validation", "masked_preview", "fragment", "raw_value", "norm_idx", "start", "end", "order_key")
-    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    match = F.struct("order_key", F.col("norm_idx").alias("chunk_index"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), "fragment")
+    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     return (
         hits.groupBy("file_id", "family", "category", "value_hash")
         .agg(
             F.count("*").alias("occurrences"), joined("location_hints").alias("location_hints"), joined("keywords").alias("keywords"),
-            F.array_sort(F.collect_list(match)).alias("matches"), F.min_by(F.struct(*first), "order_key").alias("f"),
+            F.min_by(F.struct(*first), "order_key").alias("f"),
         )
-        .select("file_id", "family", "category", "value_hash", "occurrences", "location_hints", "keywords", "matches", *(F.col(f"f.{c}").alias(c) for c in first))
+        .select("file_id", "family", "category", "value_hash", "occurrences", "location_hints", "keywords", *(F.col(f"f.{c}").alias(c) for c in first))
     )
 
 
