@@ -17,6 +17,8 @@ SECTIONS = {
     "scan": {"include_hidden": False, "max_file_size_mb": None, "continue_on_error": True},
     "feature_flags": {"include_masked_samples": True, "enable_sensitive_detectors": True, "enable_template_heuristics": True, "enable_ocr": False},
     "detection": {"context_window": 60, "phone_min_digits": 10, "phone_max_digits": 11, "max_text_chunks_per_file": 2000},
+    "ocr": {"mode": "off", "auto_pdf_page_limit": 0, "shortlist_path_contains": [], "skip_path_contains": []},
+    "reporting": {"create_csv": True, "create_json": True, "create_markdown": True, "create_tables": False},
     "masking": {"enabled": True, "secret_env_var": "VAULTLENS_MASKING_SECRET", "default_salt": "local-dev-salt", "hash_length": 16, "preview_prefix": 2, "preview_suffix": 2},
     "uz_thresholds": {
         "ordinary_large_unique": 20, "ordinary_large_occurrences": 100, "ordinary_large_rows": 50,
@@ -41,6 +43,13 @@ class Config:
             secret=os.environ.get(m["secret_env_var"], m["default_salt"]), hash_length=m["hash_length"], prefix=m["preview_prefix"], suffix=m["preview_suffix"],
         )
 
+    def recognition(self):
+        from .sources.formats import Recognition
+
+        o = self.sections["ocr"]
+        mode = o["mode"] if self.sections["feature_flags"]["enable_ocr"] else "off"
+        return Recognition(mode, o["auto_pdf_page_limit"], tuple(o["shortlist_path_contains"]), tuple(o["skip_path_contains"]))
+
     def thresholds(self):
         from .operators.scoring import Thresholds
 
@@ -68,18 +77,24 @@ def load_config(path: str | None) -> Config:
     return config
 
 
-def run_scan(spark, root: str, out: str, config: Config | None = None) -> list[str]:
+def run_scan(spark, root: str, out: str, config: Config | None = None, readers: dict | None = None) -> list[str]:
+    """Scan a folder and write its reports; returns their names.
+
+    readers: a site's own, by format; the one of images is left out unless recognition is enabled.  With create_tables the
+    rows also go to out by Spark's writers, which a scan of any size can use with the single files turned off.
+    """
     from .operators.aggregate import run_metrics
     from .plans.scan import scan
     from .sources.errors import ScanError
     from .sources.extract import chunks_of, extract, list_files
-    from .sources.reports import write_files
+    from .sources.reports import write_files, write_tables
 
     config, started = config or Config(), datetime.now(UTC)
     s = config.sections["scan"]
     size = s["max_file_size_mb"]
     files = list_files(spark, root, hidden=s["include_hidden"], max_bytes=size * 2**20 if size else None)
-    found = extract(files, most=config.sections["detection"]["max_text_chunks_per_file"])
+    usable = {form: r for form, r in (readers or {}).items() if form != "image" or config.sections["feature_flags"]["enable_ocr"]}
+    found = extract(files, most=config.sections["detection"]["max_text_chunks_per_file"], readers=usable, policy=config.recognition())
     from .session import use_shared_dir
 
     use_shared_dir(spark)
@@ -92,7 +107,9 @@ def run_scan(spark, root: str, out: str, config: Config | None = None) -> list[s
         "version": __version__, "input_dir": root, "output_dir": out, "started_at": started.isoformat(), "finished_at": finished.isoformat(),
         "duration_seconds": (finished - started).total_seconds(), "files_discovered": found.count(),
     }
-    return write_files(done, metrics, uuid.uuid4().hex[:12], out, facts)
+    run_id, r = uuid.uuid4().hex[:12], config.sections["reporting"]
+    tables = write_tables(done, run_id, out) if r["create_tables"] else []
+    return write_files(done, metrics, run_id, out, facts, kinds=[k for k in ("csv", "json", "markdown") if r[f"create_{k}"]]) + tables
 
 
 def main(argv: list[str] | None = None) -> int:

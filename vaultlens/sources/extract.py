@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vaultlens.functions.lexicons import HEADER_MARKERS
 
-from .formats import format_of
+from .formats import Recognition, format_of, recognition
 
 # Names of tables' columns by the words in them, in order, and parts of archives.
 ALIASES = (
@@ -38,6 +38,8 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 ERROR_PAGES = ("404 not found", "an error occurred")
 CHUNKS_MOST = 2_000
+#: Spark reads no larger file as one value.
+BYTES_MOST = 2**31 - 1
 
 
 @dataclass
@@ -330,15 +332,10 @@ def read_xls(raw: bytes, most: int) -> Extract:
 
 
 def read_pdf(raw: bytes, most: int) -> Extract:
-    """Pages by an installed reader; without one, or for what isn't a PDF, nothing."""
-    if not raw[:1024].lstrip(b"\x00\t\r\n\f ").startswith(b"%PDF-"):
-        return Extract("empty", warnings=["not a PDF"])
-    try:
-        import pypdf
-    except ImportError:
-        return Extract("unsupported", warnings=["no PDF reader is available"])
-    pages = [" ".join((page.extract_text() or "").split()) for page in pypdf.PdfReader(io.BytesIO(raw)).pages]
-    return Extract("ok" if any(pages) else "empty", pages)
+    """Pages by the installed readers, without recognition."""
+    from .pages import PdfReader
+
+    return PdfReader()(raw, most)
 
 
 RTF_PART = re.compile(r"\\u(-?\d+) ?\??|\\'([0-9a-fA-F]{2})|\\([a-z]+)(-?\d+)? ?|\\([^a-z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
@@ -382,14 +379,15 @@ READERS: dict[str, Callable[[bytes, int], Extract]] = {
     "rtf": read_rtf, "doc": unsupported("no reader of legacy documents is available"), "image": unsupported("Image OCR is disabled by current config"),
     "mp4": unsupported("video is not read"), "unknown": unsupported("unsupported format"),
 }
-#: Lets a site plug in its own reader, of images for one: format -> function of (bytes, most chunks).
+#: Lets a site plug in its own reader, of images for one: format -> function of (bytes, most chunks), and of what the file's
+#: path lets recognition do if it has takes_policy.
 Readers = dict[str, Callable[[bytes, int], Extract]]
 
 
-def extract_bytes(file_format: str, raw: bytes, most: int = CHUNKS_MOST, readers: Readers | None = None) -> Extract:
+def extract_bytes(file_format: str, raw: bytes, most: int = CHUNKS_MOST, readers: Readers | None = None, policy: int = 2) -> Extract:
     reader = (readers or {}).get(file_format) or READERS.get(file_format, READERS["unknown"])
     try:
-        return reader(raw, most).settled(most)
+        return (reader(raw, most, policy) if getattr(reader, "takes_policy", False) else reader(raw, most)).settled(most)
     except Exception as error:  # one bad file must not end a scan
         return Extract("error", warnings=[f"{file_format} extraction failed: {error}"], errors=["extraction_error"])
 
@@ -398,18 +396,26 @@ EXTRACTED = "file_id string, rel_path string, format string, extractor string, s
 
 
 def list_files(spark: SparkSession, root: str, *, hidden: bool = False, max_bytes: int | None = None) -> DataFrame:
-    """(rel_path, format, size_bytes, content) of all files under a folder, dot-files and dot-folders left out unless asked for."""
+    """(rel_path, format, size_bytes, content) of all files under a folder, dot-files and dot-folders left out unless asked for.
+
+    Files larger than max_bytes, or than Spark reads at all, come without their content, which isn't read.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     rel = F.substring(F.regexp_replace("path", "^([a-z]+):/+", "$1:/"), len(re.sub("^([a-z]+):/+", r"\1:/", full)) + 2, 1 << 20)
-    out = found.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), "content").withColumn("format", format_of(F.col("rel_path")))
-    out = out if hidden else out.where(~F.col("rel_path").rlike(r"(^|/)\."))
-    return out if max_bytes is None else out.where(F.col("size_bytes") <= max_bytes)
+    most = min(max_bytes or BYTES_MOST, BYTES_MOST)
+    named = lambda df, content: df.select(rel.alias("rel_path"), F.col("length").alias("size_bytes"), content.alias("content"))
+    fit = named(found.where(F.col("length") <= most), F.col("content"))
+    out = fit.unionByName(named(found.where(F.col("length") > most), F.lit(None).cast("binary"))).withColumn("format", format_of(F.col("rel_path")))
+    return out if hidden else out.where(~F.col("rel_path").rlike(r"(^|/)\."))
+
 
+def extract(files: DataFrame, *, most: int = CHUNKS_MOST, readers: Readers | None = None, policy: Recognition | None = None) -> DataFrame:
+    """One row for each of files(rel_path, format, size_bytes, content), with its chunks; without content, unsupported.
 
-def extract(files: DataFrame, *, most: int = CHUNKS_MOST, readers: Readers | None = None) -> DataFrame:
-    """One row for each of files(rel_path, format, size_bytes, content), with its chunks."""
+    policy: which files the readers may send to character recognition; None lets them send all.
+    """
     names = [f.split(" ")[0] for f in EXTRACTED.split(", ")]
     strings = pa.list_(pa.string())
     types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), strings, pa.int64(), strings, strings, strings]
@@ -417,12 +423,16 @@ def extract(files: DataFrame, *, most: int = CHUNKS_MOST, readers: Readers | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # a file at a time: contents are large
-                rel, form, size, raw = (c[i].as_py() for c in batch.columns)
-                x = extract_bytes(form, raw or b"", most, readers)
+                rel, form, size, allowed, raw = (c[i].as_py() for c in batch.columns)
+                if raw is None:
+                    x = Extract("unsupported", warnings=[f"file of {size} bytes is larger than the scan reads"])
+                else:
+                    x = extract_bytes(form, raw, most, readers, allowed)
                 row = (rel, rel, form, form, size, x.status, x.header, x.rows, x.warnings, x.errors, x.chunks)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
-    return files.select("rel_path", "format", "size_bytes", "content").mapInArrow(run, EXTRACTED)
+    allowed = F.lit(2) if policy is None else recognition(F.col("rel_path"), F.col("format"), policy)
+    return files.select("rel_path", "format", "size_bytes", allowed.alias("allowed"), "content").mapInArrow(run, EXTRACTED)
 
 
 def chunks_of(extracted: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import mimetypes
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ BY_MIME = {
 }
 IMAGE_SIGNATURES = (b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"GIF87a", b"GIF89a", b"BM", b"II*\x00", b"MM\x00*")
 MARKUP_SIGNATURES = (b"<!doctype", b"<html", b"<?xml", b"<svg", b"<h1>")
+#: Bytes that may stand before a signature.
+LEADING_BLANKS = b"\x00\t\r\n\f "
 SCAN_WORDS = ("архив сканы", "scan", "скан", "passport", "паспорт")
 
 #: Extensions that only their MIME type tells: worked out from the standard table.
@@ -80,6 +83,24 @@ def ocr_pdf(path: Column, pages: Column, *, mode: str = "auto", enabled: bool =
     return _policy(path, mode, enabled, shortlist, skip, (F.lit(page_limit) > 0) & (pages <= page_limit))
 
 
+@dataclass(frozen=True)
+class Recognition:
+    """When files go to character recognition: mode off, auto, force or full, pages of a short PDF, more words of paths."""
+
+    mode: str = "auto"
+    page_limit: int = 0
+    shortlist: tuple = ()
+    skip: tuple = ()
+
+
+def recognition(path: Column, form: Column, policy: Recognition) -> Column:
+    """What a file's path allows: 0 nothing, 1 if it turns out to be short, 2 at any length."""
+    words = {"mode": policy.mode, "shortlist": policy.shortlist, "skip": policy.skip}
+    pdf = lambda pages: ocr_pdf(path, F.lit(pages), page_limit=policy.page_limit, **words)
+    by_pages = F.when(pdf(2**31 - 1), 2).when(pdf(0), 1).otherwise(0)
+    return F.when(form == "pdf", by_pages).when((form == "image") & ocr_image(path, **words), 2).otherwise(0)
+
+
 def ocr_image(path: Column, *, mode: str = "auto", enabled: bool = True, shortlist: tuple = (), skip: tuple = ()) -> Column:
     ext = extension_of(path)
     scanned = ext.isin("jpg", "jpeg", "png", "bmp") & has_marker(F.replace(decoded_path(path), F.lit("\\"), F.lit("/")), SCAN_WORDS)

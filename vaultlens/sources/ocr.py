@@ -6,10 +6,11 @@ engine(frame, variant, mode, language) returns text; it may call a program or a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import islice
 
 from .extract import Extract
-from .formats import IMAGE_SIGNATURES
+from .formats import IMAGE_SIGNATURES, LEADING_BLANKS
 
 # Preparations of a picture, page modes tried after the wanted one, and what is stripped off tokens.
 VARIANTS = ("base", "sharp", "binary")
@@ -48,15 +49,20 @@ def recognise(frame: object, engine: Engine, language: str, *, mode: int = 6, va
     return max((engine(frame, v, m, language) for v in variants for m in modes), key=lambda t: (text_score(t), len(t)))
 
 
-def image_reader(frames_of: Callable[[bytes], Sequence[object]], engine: Engine, *, wanted: str = "rus+eng", available: Sequence[str] = ("eng",), most_frames: int = 10):
-    """A reader of pictures: signature first, then up to most_frames frames; a frame that fails makes the file partial."""
+def image_reader(frames_of: Callable[[bytes], Iterable[object]], engine: Engine, *, wanted: str = "rus+eng", available: Sequence[str] = ("eng",), most_frames: int = 10):
+    """A reader of pictures: signature, then policy, then up to most_frames frames; a frame that fails makes the file partial."""
 
-    def read(raw: bytes, most: int) -> Extract:
-        if not raw[:128].lstrip(b"\x00\t\r\n\f ").startswith(IMAGE_SIGNATURES):
+    def read(raw: bytes, most: int, policy: int = 2) -> Extract:
+        if not raw[:128].lstrip(LEADING_BLANKS).startswith(IMAGE_SIGNATURES):
             return Extract("empty", warnings=["not an image"])
+        if not policy:
+            return Extract("empty", warnings=["Image OCR skipped by shortlist policy"])
         language, said = languages(wanted, available)
         out = Extract(warnings=said)
-        for frame in list(frames_of(raw))[:most_frames]:
+        for i, frame in enumerate(islice(frames_of(raw), most_frames + 1)):
+            if i == most_frames:
+                out.warnings.append("Image OCR frame limit reached")
+                break
             try:
                 text = " ".join(recognise(frame, engine, language).split())
             except Exception as error:  # one bad frame must not end a file
@@ -67,4 +73,5 @@ def image_reader(frames_of: Callable[[bytes], Sequence[object]], engine: Engine,
         out.status = ("partial" if out.errors else "ok") if out.chunks else ("error" if out.errors else "empty")
         return out
 
+    read.takes_policy = True
     return read

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -48,35 +49,40 @@ def top_files(verdicts: DataFrame, n: int = 10) -> DataFrame:
     return verdicts.orderBy(F.desc("total_hits"), "rel_path").limit(n)
 
 
-def write_tables(verdicts: DataFrame, run_id: str, out: str) -> None:
-    """The reports' rows by Spark's writers, for scans of any size."""
+def shown(verdicts: DataFrame) -> DataFrame:
+    """What reports may have of the verdicts."""
+    return verdicts.drop("cand", "final", "quality_reasons", "context_reasons", "dropped")
+
+
+def write_tables(verdicts: DataFrame, run_id: str, out: str) -> list[str]:
+    """The reports' rows by Spark's writers, for scans of any size, in three folders of out."""
     summary_rows(verdicts, run_id).write.mode("overwrite").option("header", True).csv(f"{out}/summary")
     result_rows(verdicts).write.mode("overwrite").option("header", True).csv(f"{out}/result")
-    shown = verdicts.drop("cand", "final", "quality_reasons", "context_reasons", "dropped")
-    shown.write.mode("overwrite").json(f"{out}/files")
+    shown(verdicts).write.mode("overwrite").json(f"{out}/files")
+    return ["summary", "result", "files"]
 
 
-def write_files(verdicts: DataFrame, metrics: DataFrame, run_id: str, out: str, facts: dict | None = None) -> list[str]:
-    """summary.csv, result.csv, report.json and report.md as single files of the driver, row by row from the executors.
-
-    facts: more of the run for the summary (version, folders, times).
-    """
-    place = Path(out)
-    place.mkdir(parents=True, exist_ok=True)
-    for name, rows in (("summary.csv", summary_rows(verdicts, run_id)), ("result.csv", result_rows(verdicts))):
+def _write_csv(place: Path, verdicts: DataFrame, run_id: str) -> list[str]:
+    tables = {"summary.csv": (summary_rows(verdicts, run_id), "rel_path"), "result.csv": (result_rows(verdicts), "path")}
+    for name, (rows, order) in tables.items():
         with (place / name).open("w", encoding="utf-8", newline="") as handle:
             writer = csv.writer(handle)
             writer.writerow(rows.columns)
-            writer.writerows(tuple(r) for r in rows.orderBy(rows.columns[1] if name == "summary.csv" else "path").toLocalIterator())
-    totals: dict[str, dict[str, int]] = {}
-    for r in metrics.collect():  # formats, levels and categories: a few rows
-        totals.setdefault(r["kind"], {})[r["name"]] = r["n"]
-    shown = verdicts.drop("cand", "final", "quality_reasons", "context_reasons", "dropped")
+            writer.writerows(tuple(r) for r in rows.orderBy(order).toLocalIterator())
+    return list(tables)
+
+
+def _write_json(place: Path, verdicts: DataFrame, run_id: str, totals: dict, facts: dict) -> list[str]:
+    rows = shown(verdicts)
     with (place / "report.json").open("w", encoding="utf-8") as handle:
-        handle.write('{"summary": ' + json.dumps({"run_id": run_id, "totals": totals, "notes": NOTES, **(facts or {})}, ensure_ascii=False) + ', "files": [')
-        for i, r in enumerate(shown.orderBy("rel_path").select(F.to_json(F.struct(*shown.columns)).alias("j")).toLocalIterator()):
+        handle.write('{"summary": ' + json.dumps({"run_id": run_id, "totals": totals, "notes": NOTES, **facts}, ensure_ascii=False) + ', "files": [')
+        for i, r in enumerate(rows.orderBy("rel_path").select(F.to_json(F.struct(*rows.columns)).alias("j")).toLocalIterator()):
             handle.write((", " if i else "") + r["j"])
         handle.write("]}\n")
+    return ["report.json"]
+
+
+def _write_markdown(place: Path, verdicts: DataFrame, run_id: str, totals: dict) -> list[str]:
     lines = ["# Scan report", "", f"- Run ID: `{run_id}`", *(f"- Files {k}: `{v}`" for k, v in sorted(totals.get("files", {}).items())), "", "## Levels", ""]
     lines += [f"- {k}: {v}" for k, v in sorted(totals.get("level", {}).items())] or ["- no results"]
     lines += ["", "## Top files", ""]
@@ -90,4 +96,22 @@ def write_files(verdicts: DataFrame, metrics: DataFrame, run_id: str, out: str,
         )
     lines += ["", "## Notes", "", *(f"- {n}" for n in NOTES)]
     (place / "report.md").write_text("\n".join(lines) + "\n", encoding="utf-8")
-    return ["summary.csv", "result.csv", "report.json", "report.md"]
+    return ["report.md"]
+
+
+KINDS = ("csv", "json", "markdown")
+
+
+def write_files(verdicts: DataFrame, metrics: DataFrame, run_id: str, out: str, facts: dict | None = None, kinds: Sequence[str] = KINDS) -> list[str]:
+    """summary.csv, result.csv, report.json and report.md as single files of the driver, row by row from the executors.
+
+    facts: more of the run for the summary (version, folders, times).  kinds: which of csv, json and markdown to write.
+    """
+    place = Path(out)
+    place.mkdir(parents=True, exist_ok=True)
+    totals: dict[str, dict[str, int]] = {}
+    for r in metrics.collect():  # formats, levels and categories: a few rows
+        totals.setdefault(r["kind"], {})[r["name"]] = r["n"]
+    names = _write_csv(place, verdicts, run_id) if "csv" in kinds else []
+    names += _write_json(place, verdicts, run_id, totals, facts or {}) if "json" in kinds else []
+    return names + (_write_markdown(place, verdicts, run_id, totals) if "markdown" in kinds else [])
