@@ -41,9 +41,15 @@ from .arrow_text import slices
 
 BLOCK_BYTES = 4_000_000
 REMEMBERED_WORDS = 600_000
+#: Words whose ids are put in a row at once.
+JOINED_WORDS = 500_000
 SAMPLE_SEED = 42
 #: ASCII marks: a run of them at the end of a word is a piece of its own after a letter.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The characters that byte-level models have for bytes; the space stays, to split at.
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)) if b != 32}
+#: ASCII white space to line breaks.
+BREAKS = bytes.maketrans(b" \t\x0b\x0c\r", b"\n" * 5)
 BLOCKS = (
     "part int, block int, first_doc long, last_doc long, n_docs int, n_tokens long, before long, "
     "doc_ids binary, has_id binary, counts binary, offsets binary, dict_sha256 string, payload binary"
@@ -74,7 +80,7 @@ class WordEncoder:
         self.tails: dict[bytes, bytes] = {b"": b""}
         # the same model behind a plain split: for words of lower-case letters in normal form, which are one piece each
         self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -85,7 +91,7 @@ class WordEncoder:
         width = self.dtype.itemsize
         for i in range(0, len(words), 1_024):
             some = words[i : i + 1_024]
-            ids = np.array(self.letters.encode_batch_fast([b" ".join(some).decode("utf-8")], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(self.letters.encode_batch_fast([b" ".join(some).decode("latin-1").translate(BYTE_LEVEL)], add_special_tokens=False)[0].ids, self.dtype)
             ends = (np.flatnonzero(self.closes[ids]) + 1) * width
             if len(ends) == len(some) and ends[-1] == len(ids) * width:
                 packed = ids.tobytes()
@@ -135,25 +141,54 @@ class WordEncoder:
             out |= self._whole(other[i : i + 512])
         return out
 
-    @staticmethod
-    def _words(text: bytes) -> list[bytes]:
-        """The words of a text, in lower case where that can't make a special token; bytes split at ASCII white space."""
-        return (text if b"<|" in text else text.lower()).split()
+    def _words(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The different words, in lower case where that can't make a special token; which stand where; each text's first.
+
+        Words are told apart in columns, each with a line break after it: only different ones become Python objects.
+        """
+        low = [t if b"<|" in t else t.lower() for t in texts]
+        data = np.frombuffer(b"\n".join([b"", *low, b""]).translate(BREAKS), np.uint8)
+        within = data != 10
+        cuts = np.flatnonzero(within[1:] != within[:-1]) + 1
+        starts, sizes = cuts[::2], cuts[1::2] - cuts[::2] + 1
+        first = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in low)]))
+        offsets = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(sizes, out=offsets[1:])
+        if not len(starts):
+            return [], np.zeros(0, np.int32), first
+        within[1:] |= data[:-1] != 10
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[within])]).dictionary_encode()
+        _, ends, own = words.dictionary.buffers()
+        different = own.slice(0, int(np.frombuffer(ends, np.int64)[len(words.dictionary)])).to_pybytes().split(b"\n")
+        return different[:-1], words.indices.to_numpy(), first
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The serialized ids of each text, the end id included."""
         if self.whole:
             found = (self.tokenizer.encode_batch_fast([t.decode("utf-8")], add_special_tokens=False)[0].ids for t in texts)
             return [self._pack(ids) + self.end for ids in found]
-        split = list(map(self._words, texts))
         known = self.known
-        different = set().union(*split)
-        here = {w: known[w] for w in different if w in known}
-        new = self._encode(list(different.difference(here)))
-        here |= new
+        different, which, first = self._words(texts)
+        packed = list(map(known.get, different))
+        new = self._encode([w for w, x in zip(different, packed, strict=True) if x is None])
+        packed = [new[w] if x is None else x for w, x in zip(different, packed, strict=True)]
         if len(known) < self.most:
             known |= new
-        return [b"".join(map(here.__getitem__, words)) + self.end for words in split]
+        # the end id stands for a word after each text's last
+        which = np.insert(which, first[1:], len(packed))
+        first = first + np.arange(len(first))
+        packed.append(self.end)
+        flat = np.frombuffer(b"".join(packed), self.dtype)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+        begins = np.cumsum(sizes) - sizes
+        parts, ends = [], np.zeros(len(which) + 1, np.int64)
+        np.cumsum(sizes[which], out=ends[1:])
+        for a in range(0, len(which), JOINED_WORDS):
+            b = min(a + JOINED_WORDS, len(which))
+            own, n = which[a:b], ends[b] - ends[a]
+            parts.append(flat[np.repeat(begins[own] - (ends[a:b] - ends[a]), sizes[own]) + np.arange(n)].tobytes())
+        out, at = b"".join(parts), (ends[first] * self.dtype.itemsize).tolist()
+        return [out[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def encoder(path: str, end_id: int, whole: bool) -> WordEncoder:
