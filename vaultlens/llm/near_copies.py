@@ -1,7 +1,12 @@
 """Near copies, operator 10 where the rule is a similarity: documents whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-SimHash can't decide this rule: texts of similarity 0.8 differ by about 10 of 64 bits, and a Hamming ball of that radius has
-10**11 values (of 43 such pairs at sf0.1, links within 3 bits find none).  So min-hashes stand in for its segments here.
+First operator 10's own method runs whole: fingerprints, multi-index hashing for links of up to ``BITS`` bits, star
+contraction.  Each set is then compared with the one that stands for its fingerprint's component, and linked to it if the
+sets themselves are that similar.
+
+SimHash alone can't decide this rule: texts of similarity 0.8 differ by about 10 of 64 bits, and a Hamming ball of that
+radius has 10**11 values (of 43 such pairs at sf0.1, links within 3 bits find none).  So the rest, and every pair that
+this first step didn't link, is found by min-hashes.
 
 Documents with one shingle set are collapsed first; all that follows works on different sets.  A set has a bucket for
 each of ``BANDS`` bands of ``ROWS`` min-hashes, and sets that share a bucket are candidates: two sets of similarity 0.8
@@ -31,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import use_shared_dir
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprints_of_hashes, links, shingle_hashes
 
+#: Bits by which linked fingerprints differ at most, as in operator 10.
+BITS = 2
 BANDS, ROWS = 30, 5
 #: Shingles that are min-hashed at once.
 RUN = 30_000
@@ -86,25 +93,33 @@ def text_key() -> Column:
 
 
 def _marked(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, tk, sid (the shingle set), n (its size) and buckets of every row."""
+    """doc_id, tk, sid (the shingle set), n (its size), buckets and fp (the fingerprint) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                sets = [shingle_set(t or b"", words) for t in some.column(2).cast(pa.binary()).to_pylist()]
+                sets: list[np.ndarray] = []
+
+                def hashed(texts: list, sets: list = sets) -> Iterator[np.ndarray]:
+                    for text in texts:
+                        own = np.array(shingle_hashes(text or b"", words), np.uint64)
+                        sets.append(np.unique(own))
+                        yield own
+
+                fps = fingerprints_of_hashes(hashed(some.column(2).cast(pa.binary()).to_pylist()), some.num_rows)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 buckets: list = [[]] * len(sets)
                 if full:
                     for i, row in zip(full, buckets_of([sets[i] for i in full]).view(np.int64).tolist(), strict=True):
                         buckets[i] = row
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array([set_key(s) for s in sets], pa.uint64()).view(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(buckets, pa.list_(pa.int64()))],
-                    names=["doc_id", "tk", "sid", "n", "buckets"],
+                    [some.column(0), some.column(1), pa.array([set_key(s) for s in sets], pa.uint64()).view(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(fps)],
+                    names=["doc_id", "tk", "sid", "n", "buckets", "fp"],
                 )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
-    return own.mapInArrow(run, "doc_id long, tk long, sid long, n long, buckets array<long>")
+    return own.mapInArrow(run, "doc_id long, tk long, sid long, n long, buckets array<long>, fp long")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
@@ -127,6 +142,17 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").where(9 * common >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
+def _fingerprint_pairs(own: DataFrame) -> DataFrame:
+    """Pairs (u, v): a set of own(sid, n, fp), and the least set of its fingerprint's component."""
+    held = own.where(F.col("n") > 0).select("sid", "fp").distinct()
+    fps = held.groupBy("fp").agg(F.min("sid").alias("least")).checkpoint()
+    roots = components(links(fps.select("fp"), distance=BITS))
+    tied = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    stands = tied.groupBy("root").agg(F.min("least").alias("v"))
+    pairs = held.join(tied.select("fp", "root"), "fp").join(stands, "root").where(F.col("sid") != F.col("v"))
+    return pairs.select(F.col("sid").alias("u"), "v").distinct().checkpoint()
+
+
 def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members and their roots, in the buckets that have several."""
     named = members.join(roots.withColumnRenamed("u", "sid"), "sid", "left").select("bucket", "sid", "n", "score", F.coalesce("v", "sid").alias("root"))
@@ -139,9 +165,8 @@ def _joined(roots: DataFrame, new: DataFrame) -> DataFrame:
     return roots if new.isEmpty() else components(roots.union(new)).select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
-def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of the linked sets of members(bucket, sid, n, score)."""
-    roots = members.sparkSession.createDataFrame([], "u long, v long")
+def _links(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the linked sets of members(bucket, sid, n, score), and of those that roots links already."""
     for turn, k in enumerate(PIVOTS):
         rest = _named(members, roots)
         one = F.min_by(F.struct("sid", "n", "root"), F.struct((-F.col("score")).alias("a"), F.xxhash64("sid", F.lit(turn)).alias("b"), "sid"))
@@ -221,8 +246,11 @@ def near_copies(docs: DataFrame, *, words: int = 5) -> DataFrame:
     shared = placed.groupBy("bucket").agg(F.count("*").alias("held")).where(F.col("held") > 1)
     joint = placed.join(shared, "bucket").select("bucket", "sid", "n", "held").checkpoint()
     members = joint.join(joint.groupBy("sid").agg(F.sum("held").alias("score")), "sid").select("bucket", "sid", "n", "score").checkpoint()
-    keys = nodes.join(members.select("sid").distinct(), "sid", "left_semi").select("tk")
-    roots = _links(members, _sets(docs, keys, words).checkpoint())
+    pairs = _fingerprint_pairs(own)
+    compared = members.select("sid").union(pairs.select("u")).union(pairs.select("v")).distinct()
+    sets = _sets(docs, nodes.join(compared, "sid", "left_semi").select("tk"), words).checkpoint()
+    near = _joined(docs.sparkSession.createDataFrame([], "u long, v long"), _similar(pairs, sets).checkpoint())
+    roots = _links(members, sets, near)
     tied = nodes.join(roots, nodes["sid"] == roots["u"], "left").select("sid", "first", F.coalesce("v", "sid").alias("root"))
     least = tied.groupBy("root").agg(F.min("first").alias("first"))
     return own.select("doc_id", "tk", "sid").join(tied.select("sid", "root"), "sid").join(least, "root").select("doc_id", "tk", "first")

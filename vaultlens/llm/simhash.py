@@ -24,7 +24,7 @@ other columns never take part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,22 +62,26 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
     """The fingerprint of each text, as signed 64-bit numbers."""
-    out = np.zeros((len(texts), 64), bool)
-    waiting: list[tuple[int, list[int]]] = []
+    return fingerprints_of_hashes((np.array(shingle_hashes(text, words), np.uint64) for text in texts), len(texts))
+
+
+def fingerprints_of_hashes(every: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """The fingerprint of each of n lists of shingle hashes."""
+    out = np.zeros((n, 64), bool)
+    waiting: list[tuple[int, np.ndarray]] = []
     held = 0
 
     def count() -> None:
-        flat = np.fromiter((h for _, own in waiting for h in own), np.uint64, held)
+        flat = np.concatenate([own for _, own in waiting])
         sizes = np.array([len(own) for _, own in waiting])
         bits = np.add.reduceat(_bit_counts(flat), np.r_[0, np.cumsum(sizes)[:-1]], axis=0, dtype=np.int64)
         out[[i for i, _ in waiting]] = 2 * bits > sizes[:, None]
 
-    for i, text in enumerate(texts):
-        own = shingle_hashes(text, words)
+    for i, own in enumerate(every):
         if len(own) > RUN:  # a very long text: its bits are counted run by run
-            total = sum(_bit_counts(np.array(own[a : a + RUN], np.uint64)).sum(0, dtype=np.int64) for a in range(0, len(own), RUN))
+            total = sum(_bit_counts(own[a : a + RUN]).sum(0, dtype=np.int64) for a in range(0, len(own), RUN))
             out[i] = 2 * total > len(own)
-        elif own:
+        elif len(own):
             waiting.append((i, own))
             held += len(own)
             if held >= RUN:
