@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .arrow_text import slices
 from .hashing import BASE, U64, Powers, Words, byte_table, mixed
-from .shared import free_name, new_folder
+from .shared import free_name, giving_back, new_folder
 
 SHARD_BYTES = 4_000_000
 BLOCK_BYTES = 8_000_000
@@ -353,7 +353,7 @@ def _search(shared, shard_bytes: int, n_words: str, matches: str, kept: list[str
                     some = rows.slice(x, y - x)
                     yield pa.RecordBatch.from_arrays([put[c] if c in put else some.column(some.schema.get_field_index(c)) for c in kept], names=kept)
 
-    return run
+    return giving_back(run)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import use_shared_dir
+from .shared import giving_back, release_shuffles, use_shared_dir
 from .simhash import SEED, fingerprints_of_hashes, links, shingle_hashes
 
 #: Bits by which linked fingerprints differ at most, as in operator 10.
@@ -45,8 +45,8 @@ BANDS, ROWS = 30, 5
 RUN = 30_000
 #: Pivots of a bucket in the rounds before the tiles.
 PIVOTS = (1,)
-#: Shingles of a tile's side, and columns of its matrices.
-TILE, COLUMNS = 200_000, 4_096
+#: Shingles of a tile's side, and rows and columns of its matrices.
+TILE, BLOCK, COLUMNS = 200_000, 1_024, 4_096
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -119,7 +119,7 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
                 )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
-    return own.mapInArrow(run, "doc_id long, tk long, sid long, n long, buckets array<long>, fp long")
+    return own.mapInArrow(giving_back(run), "doc_id long, tk long, sid long, n long, buckets array<long>, fp long")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
@@ -132,7 +132,7 @@ def _sets(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.uint64()).view(pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "shingles"])
 
     texts = docs.select("text", text_key().alias("tk")).join(keys, "tk", "left_semi").select("text")
-    return texts.mapInArrow(run, "sid long, shingles array<long>").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(giving_back(run), "sid long, shingles array<long>").groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -176,6 +176,7 @@ def _links(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
         pairs = rest.join(pivots, "bucket").where(near).select(F.greatest("sid", "p").alias("u"), F.least("sid", "p").alias("v")).distinct()
         roots = _joined(roots, _similar(pairs, sets).checkpoint())
         members = rest.join(pivots.select("bucket", F.col("p").alias("sid")), ["bucket", "sid"], "left_anti").select("bucket", "sid", "n", "score")
+    release_shuffles(sets.sparkSession)
     return _joined(roots, _tiled(_named(members, roots), sets).checkpoint())
 
 
@@ -200,30 +201,8 @@ def _incidence(flat: np.ndarray, owner: np.ndarray, low: int, rows: int) -> np.n
     return out
 
 
-def _tile(_: tuple, table: pa.Table) -> pa.Table:
-    table = table.combine_chunks()
-    asks, sid, root = (table[c].to_numpy(zero_copy_only=False) for c in ("asks", "sid", "root"))
-    lists = table["shingles"].combine_chunks()
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, owner = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sid)), sizes)
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    if not asks.any() or asks.all():
-        return pa.table([[], []], schema=schema)
-    known = np.unique(flat[asks[owner]])  # only shingles of the askers can be common
-    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-    there = known[at] == flat
-    flat, owner = at[there], owner[there]
-    place = np.where(asks, np.cumsum(asks), np.cumsum(~asks)) - 1
-    mine = asks[owner]
-    a, b = (flat[mine], place[owner[mine]]), (flat[~mine], place[owner[~mine]])
-    n_a, n_b = int(asks.sum()), int((~asks).sum())
-    common = np.zeros((n_a, n_b), np.float32)
-    for low in range(0, len(known), COLUMNS):
-        common += _incidence(*a, low, n_a) @ _incidence(*b, low, n_b).T
-    total = sizes[asks][:, None] + sizes[~asks][None, :]
-    i, j = np.nonzero((9 * common >= 4 * total) & (root[asks][:, None] != root[~asks][None, :]))
-    u, v = sid[asks][i], sid[~asks][j]
-    # links that join what these links join
+def _contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the links (u, v) join: each end but the least with the least."""
     names, ends = np.unique(np.r_[u, v], return_inverse=True)
     x, y, least = ends[: len(u)], ends[len(u) :], np.arange(len(names))
     while len(x):
@@ -234,7 +213,37 @@ def _tile(_: tuple, table: pa.Table) -> pa.Table:
         if (before == least).all():
             break
     tied = np.flatnonzero(least != np.arange(len(names)))
-    return pa.table([names[tied], names[least[tied]]], schema=schema)
+    return names[tied], names[least[tied]]
+
+
+def _tile(_: tuple, table: pa.Table) -> pa.Table:
+    """Links (u, v) of a tile; BLOCK sets of either side are compared at once, and only shingles that such askers have."""
+    table = table.combine_chunks()
+    asks, sid, root = (table[c].to_numpy(zero_copy_only=False) for c in ("asks", "sid", "root"))
+    lists = table["shingles"].combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)]
+
+    def blocks(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        some = [rows[at : at + BLOCK] for at in range(0, len(rows), BLOCK)]
+        return [(r, np.concatenate([flat[ends[i] : ends[i + 1]] for i in r]), np.repeat(np.arange(len(r)), sizes[r])) for r in some]
+
+    u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    told = blocks(np.flatnonzero(~asks))
+    for mine, own, a_owner in blocks(np.flatnonzero(asks)):
+        known, a_at = np.unique(own, return_inverse=True)  # only shingles of the askers can be common
+        for others, theirs, owner in told:
+            at = np.minimum(np.searchsorted(known, theirs), len(known) - 1)
+            there = known[at] == theirs
+            b_at, b_owner = at[there], owner[there]
+            common = np.zeros((len(mine), len(others)), np.float32)
+            for low in range(0, len(known), COLUMNS):
+                common += _incidence(a_at, a_owner, low, len(mine)) @ _incidence(b_at, b_owner, low, len(others)).T
+            near = 9 * common >= 4 * (sizes[mine][:, None] + sizes[others][None, :])
+            i, j = np.nonzero(near & (root[mine][:, None] != root[others][None, :]))
+            if len(i):
+                u, v = _contracted(np.r_[u, sid[mine[i]]], np.r_[v, sid[others[j]]])
+    return pa.table([u, v], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
 
 def near_copies(docs: DataFrame, *, words: int = 5) -> DataFrame:
@@ -249,8 +258,10 @@ def near_copies(docs: DataFrame, *, words: int = 5) -> DataFrame:
     pairs = _fingerprint_pairs(own)
     compared = members.select("sid").union(pairs.select("u")).union(pairs.select("v")).distinct()
     sets = _sets(docs, nodes.join(compared, "sid", "left_semi").select("tk"), words).checkpoint()
+    release_shuffles(docs.sparkSession)
     near = _joined(docs.sparkSession.createDataFrame([], "u long, v long"), _similar(pairs, sets).checkpoint())
     roots = _links(members, sets, near)
+    release_shuffles(docs.sparkSession)
     tied = nodes.join(roots, nodes["sid"] == roots["u"], "left").select("sid", "first", F.coalesce("v", "sid").alias("root"))
     least = tied.groupBy("root").agg(F.min("first").alias("first"))
     return own.select("doc_id", "tk", "sid").join(tied.select("sid", "root"), "sid").join(least, "root").select("doc_id", "tk", "first")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .arrow_text import slices
 from .decontam import IN_WORD, words_of
 from .hashing import BASE, U64, Powers
+from .shared import giving_back
 
 WORD_BITS, BINS, RANK = 14, 8, 4
 RUN_BYTES = 2_000_000
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4_000, seed: i
                         [value[a:b].astype("<f4").tobytes() for a, b in cut],
                     ), arrow.types, strict=True)], schema=arrow)
 
-    found = chosen.mapInArrow(extract, schema).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("index", "value")).limit(sample_rows).collect()
+    found = chosen.mapInArrow(giving_back(extract), schema).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("index", "value")).limit(sample_rows).collect()
     return learn([(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4"), r["label"]) for r in found], seed=seed)
 
 
@@ -196,7 +197,7 @@ def _scorer(shared, keep: float | None, names: list[str]):
                 else:
                     yield pa.RecordBatch.from_arrays([scores if c == "score" else rows.column(rows.schema.get_field_index(c)) for c in names], names=names)
 
-    return run
+    return giving_back(run)
 
 
 def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,6 +34,31 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{use_shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles and checkpoints that nothing refers to; it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def give_back() -> None:
+    """Forget what the process keeps for the token store, and return memory that isn't in use to the system."""
+    sys.modules.pop("_vaultlens_process", None)
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which a worker that other operators used before, and will again, begins and ends without their memory or its own."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name like this one that no column has, in any case."""
     taken = {c.lower() for c in df.columns}
