@@ -170,7 +170,7 @@ def _with_plan(left: DataFrame, right: DataFrame, few: bool, salts: int) -> Data
         return left.alias("l").join(F.broadcast(right.alias("r")), _same(), "left")
     left = left.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.alias("l").join(right.alias("r"), _same() & (F.col("l.salt") == F.col("r.salt")), "left")
+    return left.alias("l").join(right.hint("merge").alias("r"), _same() & (F.col("l.salt") == F.col("r.salt")), "left")
 
 
 #: What mix_sources adds; columns of the documents that are called so are left out.

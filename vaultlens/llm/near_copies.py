@@ -253,7 +253,7 @@ def near_copies(docs: DataFrame, *, words: int = 5) -> DataFrame:
     nodes = own.groupBy("sid").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tk"))).alias("first"), F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("buckets").alias("buckets")).checkpoint()
     placed = nodes.select("sid", "n", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("held")).where(F.col("held") > 1)
-    joint = placed.join(shared, "bucket").select("bucket", "sid", "n", "held").checkpoint()
+    joint = placed.join(shared.hint("merge"), "bucket").select("bucket", "sid", "n", "held").checkpoint()
     members = joint.join(joint.groupBy("sid").agg(F.sum("held").alias("score")), "sid").select("bucket", "sid", "n", "score").checkpoint()
     pairs = _fingerprint_pairs(own)
     compared = members.select("sid").union(pairs.select("u")).union(pairs.select("v")).distinct()

@@ -14,6 +14,9 @@ way: two fingerprints differ by at most 2 bits if and only if the balls of radiu
 A whole 64-bit value has 65 fingerprints within one bit at most, so no group can grow, and all of a group are linked; the
 least of a group stands for its links.  For 3 bits the meeting balls have radii 1 and 2.
 
+Spark sizes an exploded table as the one before it, so it would broadcast 17 or 65 times what it takes for small; joins of
+balls are told to merge sorted sides, whatever their size.
+
 Links are contracted to components by star contraction; no link, component or fingerprint list comes to the driver.
 
 Defined results: null and empty texts have no words and fingerprint zero, linked like any other; fewer words than a
@@ -131,7 +134,7 @@ def links(fps: DataFrame, *, distance: int = 2, crowded: int = 64) -> DataFrame:
     probe = asked.select(F.col("fp").alias("u"), "seg", F.col("at"), (F.col("at") == F.col("val")).alias("same"))
     entry = cool.select(F.col("fp").alias("v"), "seg", F.col("val").alias("at"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    found = probe.join(entry, ["seg", "at"]).where(near & (~F.col("same") | (F.col("u") < F.col("v")))).select("u", "v")
+    found = probe.join(entry.hint("merge"), ["seg", "at"]).where(near & (~F.col("same") | (F.col("u") < F.col("v")))).select("u", "v")
     if not any_full:
         return found
     touching = held.select("fp", "seg", F.explode(_ball(F.col("val"), 32)).alias("val")).join(full, ["seg", "val"], "left_semi").select("fp").distinct().checkpoint()
@@ -142,14 +145,14 @@ def _meeting_balls(fps: DataFrame, distance: int) -> DataFrame:
     """Star edges between fingerprints whose balls of radius 1 (for 3 bits: 1 and 2) share a value."""
     ball = fps.select("fp", F.explode(_ball(F.col("fp"), 64)).alias("at"))
     least = ball.groupBy("at").agg(F.min("fp").alias("m"), F.count("*").alias("n")).where(F.col("n") > 1)
-    edges = ball.join(least, "at").where(F.col("fp") != F.col("m")).select(F.col("fp").alias("u"), F.col("m").alias("v"))
+    edges = ball.join(least.hint("merge"), "at").where(F.col("fp") != F.col("m")).select(F.col("fp").alias("u"), F.col("m").alias("v"))
     if distance < 2:
         edges = edges.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
-        own = ball.join(fps.select(F.col("fp").alias("at")), "at").where(F.col("fp") != F.col("at"))
+        own = ball.join(fps.select(F.col("fp").alias("at")).hint("merge"), "at").where(F.col("fp") != F.col("at"))
         return own.select(F.col("fp").alias("u"), F.col("at").alias("v")) if distance else edges
     if distance == 3:
         outer = ball.select("fp", F.explode(_ball(F.col("at"), 64)).alias("at")).distinct()
-        more = outer.join(least.select("at", "m").union(ball.select("at", F.col("fp").alias("m"))).distinct(), "at")
+        more = outer.join(least.select("at", "m").union(ball.select("at", F.col("fp").alias("m"))).distinct().hint("merge"), "at")
         edges = edges.union(more.where((F.col("fp") != F.col("m")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) <= 3)).select(F.col("fp").alias("u"), F.col("m").alias("v")))
     return edges
 
