@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -80,20 +80,27 @@ def places_of(hits: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(hits: DataFrame) -> DataFrame:
+#: What a detection has of the first hit of its value.
+FIRST = ("detector_id", "confidence", "validation", "masked_preview", "fragment", "raw_value", "norm_idx", "start", "end", "order_key")
+
+
+def deduplicate(hits: DataFrame, first: Sequence[str] = FIRST) -> DataFrame:
     """One row for each (file, family, category, hash); null hashes are one value.  What isn't merged is the first hit's.
 
-    Hints and keywords are gathered as different lists, which map-side partial sets keep short; places_of has the places.
+    first: those of its fields that are wanted.  Hints and keywords are gathered as different lists; places_of has the places.
+    Hits are dealt out by value before they are merged: sets of lists can only be merged by sorting, and sorting what a
+    task reads, however much that is, spilled more than the hits themselves take.
     """
-    first = ("detector_id", "confidence", "validation", "masked_preview", "fragment", "raw_value", "norm_idx", "start", "end", "order_key")
+    value = ("file_id", "family", "category", "value_hash")
+    own = hits.select(*value, "location_hints", "keywords", *dict.fromkeys((*first, "order_key"))).repartition(*value)
     joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     return (
-        hits.groupBy("file_id", "family", "category", "value_hash")
+        own.groupBy(*value)
         .agg(
             F.count("*").alias("occurrences"), joined("location_hints").alias("location_hints"), joined("keywords").alias("keywords"),
             F.min_by(F.struct(*first), "order_key").alias("f"),
         )
-        .select("file_id", "family", "category", "value_hash", "occurrences", "location_hints", "keywords", *(F.col(f"f.{c}").alias(c) for c in first))
+        .select(*value, "occurrences", "location_hints", "keywords", *(F.col(f"f.{c}").alias(c) for c in first))
     )
 
 

@@ -329,34 +329,34 @@ DEDUP_SQL = DEDUP_SQL.replace("FROM h GROUP BY ALL)", "FROM h GROUP BY file_id,
 
 @query("dedup_hits", DEDUP_SQL + " SELECT file_id, category, value_hash, occurrences, array_to_string(hints, ',') AS hints, array_to_string(keywords, ',') AS keywords, confidence, CAST(first[2] AS BIGINT) AS first_line FROM d")
 def dedup_hits(spark, sf_dir):
-    found = deduplicate(made_hits(spark, sf_dir))
+    found = deduplicate(made_hits(spark, sf_dir), ("confidence", "start"))
     joined = lambda c: F.array_join(c, ",")
     return found.select("file_id", "category", "value_hash", "occurrences", joined("location_hints").alias("hints"), joined("keywords").alias("keywords"), "confidence", F.col("start").cast("long").alias("first_line"))
 
 
 @query("counts_by_category", DEDUP_SQL + " SELECT file_id, category, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM d GROUP BY ALL")
 def counts_by_category(spark, sf_dir):
-    return aggregate.counts_by(deduplicate(made_hits(spark, sf_dir)), "category")
+    return aggregate.counts_by(deduplicate(made_hits(spark, sf_dir), ("confidence", "validation")), "category")
 
 
 @query("counts_by_family", DEDUP_SQL + " SELECT file_id, family, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM d GROUP BY ALL")
 def counts_by_family(spark, sf_dir):
-    return aggregate.counts_by(deduplicate(made_hits(spark, sf_dir)), "family")
+    return aggregate.counts_by(deduplicate(made_hits(spark, sf_dir), ("confidence", "validation")), "family")
 
 
 @query("validated_counts", DEDUP_SQL + " SELECT file_id, category, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM d WHERE validation = 'valid' GROUP BY ALL")
 def validated_counts(spark, sf_dir):
-    return aggregate.validated_counts(deduplicate(made_hits(spark, sf_dir)))
+    return aggregate.validated_counts(deduplicate(made_hits(spark, sf_dir), ("confidence", "validation")))
 
 
 @query("entity_counts", DEDUP_SQL + " SELECT file_id, CAST(sum(CASE WHEN validation = 'valid' THEN occurrences ELSE 0 END) AS BIGINT) AS validated, CAST(sum(CASE WHEN validation = 'invalid' OR confidence = 'low' THEN occurrences ELSE 0 END) AS BIGINT) AS suspicious FROM d GROUP BY ALL")
 def entity_counts(spark, sf_dir):
-    return aggregate.entity_counts(deduplicate(made_hits(spark, sf_dir)))
+    return aggregate.entity_counts(deduplicate(made_hits(spark, sf_dir), ("confidence", "validation")))
 
 
 @query("confidence_summary", DEDUP_SQL + " SELECT file_id, confidence, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM d GROUP BY ALL")
 def confidence_summary(spark, sf_dir):
-    return aggregate.counts_by(deduplicate(made_hits(spark, sf_dir)), "confidence")
+    return aggregate.counts_by(deduplicate(made_hits(spark, sf_dir), ("confidence", "validation")), "confidence")
 
 
 FAMILY_SQL = DEDUP_SQL + """,
@@ -366,20 +366,20 @@ FAMILY_SQL = DEDUP_SQL + """,
 
 @query("family_summary", FAMILY_SQL + " SELECT * FROM f")
 def family_summary(spark, sf_dir):
-    return aggregate.family_summary(deduplicate(made_hits(spark, sf_dir)))
+    return aggregate.family_summary(deduplicate(made_hits(spark, sf_dir), ("confidence", "validation")))
 
 
 @query("large_volume", FAMILY_SQL + """ SELECT file_id, family, CASE family WHEN 'ordinary' THEN unique_values >= 20 OR occurrences >= 100 OR places >= 50
        WHEN 'government' THEN unique_values >= 5 OR occurrences >= 20 OR places >= 10 WHEN 'payment' THEN unique_values >= 3 OR occurrences >= 5 OR places >= 3 ELSE false END AS is_large FROM f""")
 def large_volume(spark, sf_dir):
     c = F.col
-    f = aggregate.family_summary(deduplicate(made_hits(spark, sf_dir)))
+    f = aggregate.family_summary(deduplicate(made_hits(spark, sf_dir), ("confidence", "validation")))
     return f.select("file_id", "family", aggregate.is_large(c("family"), c("unique_values"), c("occurrences"), c("places")).alias("is_large"))
 
 
 @query("top_files", DEDUP_SQL + " SELECT file_id AS rel_path, CAST(sum(occurrences) AS BIGINT) AS total_hits FROM d GROUP BY file_id ORDER BY total_hits DESC, rel_path LIMIT 10")
 def top_files(spark, sf_dir):
-    hits = deduplicate(made_hits(spark, sf_dir)).groupBy(F.col("file_id").alias("rel_path")).agg(F.sum("occurrences").alias("total_hits"))
+    hits = deduplicate(made_hits(spark, sf_dir), ("confidence", "validation")).groupBy(F.col("file_id").alias("rel_path")).agg(F.sum("occurrences").alias("total_hits"))
     return reports.top_files(hits)
 
 
