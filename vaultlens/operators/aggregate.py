@@ -31,13 +31,19 @@ def counted(detections: DataFrame) -> DataFrame:
 
 
 def family_summary(detections: DataFrame) -> DataFrame:
-    """(file_id, family, occurrences, unique_values, places): places are different location hints."""
-    own = counted(detections)
-    hints = own.select("file_id", "family", F.explode("location_hints").alias("hint")).groupBy("file_id", "family").agg(F.count_distinct("hint").alias("places"))
-    sums = own.groupBy("file_id", "family").agg(
-        F.sum("occurrences").alias("occurrences"), F.count_distinct(F.when(F.col("value_hash") != "", F.col("value_hash"))).alias("unique_values")
+    """(file_id, family, occurrences, unique_values, places): places are different location hints.
+
+    Hints and values are items of one list, told apart and counted in one pass; detections are made once.
+    """
+    item = lambda is_place, name, n: F.struct(F.lit(is_place).alias("is_place"), name.alias("item"), n.cast("bigint").alias("n"))
+    places = F.transform(F.coalesce("location_hints", F.array().cast("array<string>")), lambda h: item(True, h, F.lit(None)))
+    items = F.concat(F.array(item(False, F.col("value_hash"), F.col("occurrences"))), places)
+    told = counted(detections).select("file_id", "family", F.explode(items).alias("x")).select("file_id", "family", "x.*")
+    once = told.groupBy("file_id", "family", "is_place", "item").agg(F.sum("n").alias("n"))
+    place, c = F.col("is_place"), F.col("item")
+    return once.groupBy("file_id", "family").agg(
+        F.sum("n").alias("occurrences"), F.count_if(~place & (c != "")).alias("unique_values"), F.count_if(place & c.isNotNull()).alias("places")
     )
-    return sums.join(hints, ["file_id", "family"], "left").withColumn("places", F.coalesce("places", F.lit(0)))
 
 
 def is_large(family: Column, unique: Column, occurrences: Column, places: Column, ordinary=(20, 100, 50), government=(5, 20, 10), payment=(3, 5, 3)) -> Column:
