@@ -1,10 +1,16 @@
-"""Column functions on text: normalising, masking, hashing and marker counting.  All stay in the JVM."""
+"""Column functions on text: normalising, masking, hashing and marker counting.  All but marks and nfkc stay in the JVM."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
-
+import re
+from collections import Counter
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +79,37 @@ def markers_found(text: Column, markers: Sequence[str]) -> Column:
     return F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(text, m))
 
 
+def any_of(words: Sequence[str]) -> str:
+    """A pattern of the texts that have an entry of a list."""
+    return "|".join(map(re.escape, sorted(set(words))))
+
+
+def marks(texts: Sequence[Column], has: Mapping[str, str], count: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """struct: for each pattern of has, whether one of the texts has it; for each list of count, how many entries they have.
+
+    An automaton goes through a text once for a whole list, where has_marker and marker_count go through it for each entry;
+    entries are told apart only in texts that have any.  Entries and patterns are linear (RE2) and never span two texts.
+    An entry listed twice counts twice; if a text is null, so is what is said of it.
+    """
+    count = dict(count or {})
+
+    def run(*columns: pa.Array) -> pa.Array:
+        search = lambda own, pattern: reduce(pc.or_, (pc.match_substring_regex(c, pattern) for c in own))
+        out = [search(columns, pattern) for pattern in has.values()]
+        for words in count.values():
+            some = search(columns, any_of(words))
+            at = pc.fill_null(some, False)
+            own, n = [c.filter(at) for c in columns], np.zeros(len(some), dtype=np.int32)
+            for word, times in Counter(words).items() if len(own[0]) else ():
+                found = reduce(pc.or_, (pc.match_substring(c, word) for c in own))
+                n[at.to_numpy(zero_copy_only=False)] += times * found.to_numpy(zero_copy_only=False).astype(np.int32)
+            out.append(pa.array(n, pa.int32(), mask=some.is_null().to_numpy(zero_copy_only=False)))
+        return pa.StructArray.from_arrays(out, [*has, *count])
+
+    fields = ", ".join([*(f"{k} boolean" for k in has), *(f"{k} int" for k in count)])
+    return F.arrow_udf(run, f"struct<{fields}>", F.ArrowUDFType.SCALAR)(*texts)
+
+
 def decoded_path(path: Column) -> Column:
     """Percent-decoded and in lower case; '+' and malformed escapes stay as they are."""
     return F.lower(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
-from operator import and_, or_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vaultlens.functions.text import any_of
+
 from .spans import Detector, Settings, hits_of, normal_text, wanted
 
 HITS = (
@@ -28,28 +30,42 @@ HIT_SCHEMA = pa.schema([("file_id", pa.string()), ("norm_idx", pa.int32()), *HIT
 
 
 def numbered(chunks: DataFrame, settings: Settings) -> DataFrame:
-    """chunks(file_id, raw_idx, text) that aren't blank, with norm_idx counted over them, as many as a file may have."""
-    filled = chunks.where(F.col("text").rlike(r"(?U)\S"))
+    """chunks(file_id, raw_idx, text) with norm_idx counted over them, as many as a file may have; they may not be blank."""
     place = F.row_number().over(W.partitionBy("file_id").orderBy("raw_idx"))
-    return filled.withColumn("place", place).where(F.col("place") <= settings.max_chunks).select("file_id", "raw_idx", (F.col("place") - 1).alias("norm_idx"), "text")
+    return chunks.withColumn("place", place).where(F.col("place") <= settings.max_chunks).select("file_id", "raw_idx", (F.col("place") - 1).alias("norm_idx"), "text")
 
 
-#: Texts with other characters may change when they are normalised: no gate holds for them.
-STABLE = r"^[\x00-\x7F\u00AB\u00BB\u00C0-\u00FF\u0400-\u045F\u2013\u2014\u2018\u2019\u201C-\u201E]*+$"
+#: Texts with such characters may change when they are normalised: no gate holds for them.
+UNSTABLE = (
+    r"[^\x00-\x7F\x{00AB}\x{00BB}\x{00C0}-\x{00FF}\x{0400}-\x{045F}\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}-\x{201E}]"
+)
 
 
 def may_have(text: Column, detectors: list[Detector]) -> Column:
-    """Whether a detector could find anything in a text, by what the text must have for it; decided in the JVM."""
-    low = F.lower(text)
+    """Whether a detector could find anything in a text, by what the text must have for it; decided in Arrow batches, without Python strings.
+
+    Case is ignored: within the characters that gates hold for, that is to look at the text in lower case.
+    """
     # blanks may differ before normalising, so of an entry only its longest word counts
     longest = lambda entry: max(entry.split(), key=len)
-    has = lambda group: reduce(or_, (F.contains(low, F.lit(w)) for w in sorted({longest(x) for x in group})))
-    one = lambda g: reduce(and_, [*([low.rlike(g.pattern)] if g.pattern else []), *map(has, g.groups)])
-    return reduce(or_, (one(d.gate) for d in detectors), F.lit(False)) | ~text.rlike(STABLE)
+    # automata never go back, so nothing is possessive
+    needed = [[*([d.gate.pattern.replace("*+", "*")] if d.gate.pattern else []), *(any_of([*map(longest, g)]) for g in d.gate.groups)] for d in detectors]
 
+    def run(texts: pa.Array) -> pa.Array:
+        may = np.zeros(len(texts), dtype=bool)
+        for patterns, ignore_case in [([UNSTABLE], False), *((p, True) for p in needed)]:
+            at = np.flatnonzero(~may)
+            for pattern in patterns:
+                found = pc.fill_null(pc.match_substring_regex(texts.take(pa.array(at)), pattern, ignore_case=ignore_case), False)
+                at = at[found.to_numpy(zero_copy_only=False)]
+            may[at] = True
+        return pa.array(may)
 
-def hits_in(chunks: DataFrame, settings: Settings, categories: tuple[str, ...] | None = None) -> DataFrame:
-    """Every hit of chunks(file_id, norm_idx, text).  Only chunks that may have any leave the JVM."""
+    return F.arrow_udf(run, "boolean", F.ArrowUDFType.SCALAR)(text)
+
+
+def _found_in(chunks: DataFrame, settings: Settings, categories: tuple[str, ...] | None) -> DataFrame:
+    """Every hit of chunks(file_id, norm_idx, text) that passed the gate."""
     detectors = wanted(settings, categories)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,16 +76,26 @@ def hits_in(chunks: DataFrame, settings: Settings, categories: tuple[str, ...] |
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), HIT_SCHEMA.types, strict=True)], schema=HIT_SCHEMA)
 
-    found = chunks.where(may_have(F.col("text"), detectors)).select("file_id", "norm_idx", "text").mapInArrow(run, HITS)
+    found = chunks.select("file_id", "norm_idx", "text").mapInArrow(run, HITS)
     return found if categories is None else found.where(F.col("category").isin(*categories))
 
 
-def find_hits(chunks: DataFrame, settings: Settings, categories: tuple[str, ...] | None = None) -> DataFrame:
+def hits_in(chunks: DataFrame, settings: Settings, categories: tuple[str, ...] | None = None) -> DataFrame:
+    """Every hit of chunks(file_id, norm_idx, text).  Only texts that may have any become Python strings."""
+    return _found_in(chunks.where(may_have(F.col("text"), wanted(settings, categories))), settings, categories)
+
+
+def find_hits(chunks: DataFrame, settings: Settings, categories: tuple[str, ...] | None = None, files: DataFrame | None = None) -> DataFrame:
     """Every hit of chunks(file_id, raw_idx, text), with raw and normalised values, which no sink may show.
 
-    categories: only these are looked for, by the detectors that can find them.
+    categories: only these are looked for, by the detectors that can find them.  files(file_id): only theirs.
+    Chunks are numbered by file after the gate, so that texts in which nothing can be found aren't shuffled.
     """
-    return hits_in(numbered(chunks, settings), settings, categories)
+    filled = chunks.where(F.col("text").rlike(r"(?U)\S"))
+    gated = filled.select("file_id", "raw_idx", F.when(may_have(F.col("text"), wanted(settings, categories)), F.col("text")).alias("text"))
+    if files is not None:
+        gated = gated.join(files.select("file_id"), "file_id", "left_semi")
+    return _found_in(numbered(gated, settings).where(F.col("text").isNotNull()), settings, categories)
 
 
 def places_of(hits: DataFrame) -> DataFrame:
@@ -104,5 +130,5 @@ def deduplicate(hits: DataFrame, first: Sequence[str] = FIRST) -> DataFrame:
     )
 
 
-def detect(chunks: DataFrame, settings: Settings | None = None) -> DataFrame:
-    return deduplicate(find_hits(chunks, settings or Settings()))
+def detect(chunks: DataFrame, settings: Settings | None = None, files: DataFrame | None = None) -> DataFrame:
+    return deduplicate(find_hits(chunks, settings or Settings(), files=files))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.functions import lexicons as L
-from vaultlens.functions.text import decoded_path, has_marker, marker_count
+from vaultlens.functions.text import decoded_path, has_marker, marker_count, marks
 
 from . import dets as D
 
@@ -20,6 +20,8 @@ PLACEHOLDERS = (
     r"(?iuU)\bсерия\b[^.\n]{0,12}_{2,}[^.\n]{0,12}\bномер\b[^.\n]{0,12}_{2,}",
 )
 BLANKS = r"(?:_{3,}|\.{4,})"
+#: What a text has in which PLACEHOLDERS or BLANKS could be found.
+GAP = r"_{2}|\.{3}|[- ]{6}"
 ID_FIELD = r"(^|[_\-.])(?:id|uuid|guid|token|hash|code|status|key)($|[_\-.])"
 ID_WORD = r"(?U)\b(?:id|uuid|guid|token|hash|status|code)\b"
 NUMBERS = ("inn_individual", "inn_legal_entity", "snils", "bank_card", "phone")
@@ -124,32 +126,47 @@ def _reasons(cases: list[tuple[Column, str]], flag: Column) -> Column:
     return F.when(flag, found).otherwise(F.array().cast("array<string>"))
 
 
-def template_flag(sample: Column, cand: Column) -> tuple[Column, Column]:
-    fields = sum(F.regexp_count(sample, F.lit(p)) for p in PLACEHOLDERS)
+def template_marks(sample: Column) -> Column:
+    return marks([F.lower(sample)], {"gap": GAP}, {"form": L.FORM_MARKERS})
+
+
+def public_marks(path: Column, sample: Column) -> Column:
+    return marks([F.lower(path), F.lower(sample)], {}, {"words": L.PUBLIC_DOC_KEYWORDS, "legal": L.LEGAL_MARKERS})
+
+
+def reference_marks(extractor: Column, sample: Column) -> Column:
+    """Null for what is no table: only tables are looked through."""
+    return marks([F.when(F.lower(extractor).isin(*TABULAR), F.lower(sample))], {}, {"reference": L.REFERENCE_FIELD_MARKERS, "personal": L.PERSONAL_FIELD_MARKERS})
+
+
+def template_flag(sample: Column, cand: Column, found: Column | None = None) -> tuple[Column, Column]:
+    """found: template_marks, if they are known; so of the other flags."""
+    own = template_marks(sample) if found is None else found
+    times = lambda *patterns: F.when(own["gap"], sum(F.regexp_count(sample, F.lit(p)) for p in patterns)).otherwise(0)
     cases = [
-        (fields >= 2, "TEMPLATE_PLACEHOLDER_FIELDS"), (F.regexp_count(sample, F.lit(BLANKS)) >= 4, "TEMPLATE_BLANK_FIELDS"),
-        (marker_count(F.lower(sample), L.FORM_MARKERS) >= 3, "TEMPLATE_FORM_MARKERS"),
+        (times(*PLACEHOLDERS) >= 2, "TEMPLATE_PLACEHOLDER_FIELDS"), (times(BLANKS) >= 4, "TEMPLATE_BLANK_FIELDS"), (own["form"] >= 3, "TEMPLATE_FORM_MARKERS"),
     ]
     flag = (cases[0][0] | cases[1][0] | cases[2][0]) & ~F.exists(cand, D.template_trusted)
     return flag, _reasons(cases, flag)
 
 
-def public_doc_flag(path: Column, sample: Column, cand: Column) -> tuple[Column, Column]:
-    low = F.lower(F.concat(path, F.lit("\n"), sample))
-    words, legal = marker_count(low, L.PUBLIC_DOC_KEYWORDS), marker_count(low, L.LEGAL_MARKERS)
+def public_doc_flag(path: Column, sample: Column, cand: Column, found: Column | None = None) -> tuple[Column, Column]:
+    both = public_marks(path, sample) if found is None else found
+    words, legal = both["words"], both["legal"]
     flag = (words + legal >= 3) & ~F.exists(cand, D.trusted)
     return flag, _reasons([(words >= 2, "PUBLIC_DOC_KEYWORDS"), (legal >= 1, "PUBLIC_DOC_LEGAL_TEXT")], flag)
 
 
-def reference_flag(path: Column, extractor: Column, header: Column, sample: Column, cand: Column) -> tuple[Column, Column]:
-    low, names = F.lower(sample), F.transform(header, F.lower)
+def reference_flag(path: Column, extractor: Column, header: Column, sample: Column, cand: Column, found: Column | None = None) -> tuple[Column, Column]:
+    own = reference_marks(extractor, sample) if found is None else found
+    low, names, tabular = F.lower(sample), F.transform(header, F.lower), F.lower(extractor).isin(*TABULAR)
     ids = F.size(F.filter(names, lambda n: n.rlike(ID_FIELD))) + F.regexp_count(low, F.lit(ID_WORD))
     cases = [
         (marker_count(F.lower(path), L.REFERENCE_PATH_MARKERS) >= 1, "REFERENCE_DATA_PATH"),
-        (marker_count(low, L.REFERENCE_FIELD_MARKERS) >= 2, "REFERENCE_DATA_SCHEMA"), (ids >= 2, "REFERENCE_DATA_ID_HEAVY"),
+        (own["reference"] >= 2, "REFERENCE_DATA_SCHEMA"), (ids >= 2, "REFERENCE_DATA_ID_HEAVY"),
     ]
     some = cases[0][0] | cases[1][0] | cases[2][0]
-    flag = F.lower(extractor).isin(*TABULAR) & some & ~F.exists(cand, D.trusted) & (marker_count(low, L.PERSONAL_FIELD_MARKERS) <= 1)
+    flag = tabular & some & ~F.exists(cand, D.trusted) & (own["personal"] <= 1)
     return flag, _reasons(cases, flag)
 
 
@@ -161,16 +178,19 @@ def official(text: Column) -> Column:
 def with_gate(df: DataFrame, file_format: Column) -> DataFrame:
     """df(rel_path, sample, cand) and gate, a struct(keep, reason): what a file's format makes of its detections.
 
-    reason is null where nothing is said.  What several rules look at is a column of its own, worked out once.
+    reason is null where nothing is said.  What several rules look at is a column of its own, worked out once, and texts
+    are only looked at where there are detections.
     """
     c = F.col
+    some = lambda text: F.when(F.size("cand") > 0, text)
     first = df.withColumns({
-        "__low": F.lower("sample"), "__decoded": decoded_path(c("rel_path")), "__cats": D.categories(c("cand")),
+        "__low": some(F.lower("sample")), "__decoded": decoded_path(c("rel_path")), "__cats": D.categories(c("cand")),
         "__anchors": D.anchors(c("cand"), L.PERSONAL_ANCHOR_CATEGORIES), "__near": D.both(D.ordinary(c("cand")), L.PERSONAL_COMPANION_CATEGORIES),
-        "__web": public_web(c("sample")), "__special": F.exists("cand", D.sensitive), "__names": D.volume(F.filter("cand", D.sure), "person_name"),
+        "__special": F.exists("cand", D.sensitive), "__names": D.volume(F.filter("cand", D.sure), "person_name"),
     }).withColumns({
+        "__web": some(marker_count(c("__low"), L.PUBLIC_WEB_MARKERS) >= 3),
         "__text": F.concat("__decoded", F.lit("\n"), "__low"), "__image": F.concat("rel_path", F.lit("\n"), "__low"),
-        "__plain": F.lower(F.concat("rel_path", F.lit("\n"), "sample")), "__linked": D.both(c("__anchors"), L.PDF_LINKABLE_ANCHORS),
+        "__plain": some(F.lower(F.concat("rel_path", F.lit("\n"), "sample"))), "__linked": D.both(c("__anchors"), L.PDF_LINKABLE_ANCHORS),
     })
     facts = first.withColumns({
         "__official": F.when(file_format.isin("pdf", "rtf", "doc"), official(c("__text"))).when(file_format == "image", official(c("__image"))),
@@ -241,14 +261,14 @@ def after_flags(kept: Column, template: Column, public: Column, reference: Colum
 
 def assess(wide: DataFrame, templates: bool = True) -> DataFrame:
     """per_file's rows with is_template, is_public_doc, is_reference_data, final (what is left) and quality_reasons."""
-    c = F.col
+    c, extractor, header = F.col, F.coalesce("extractor", F.lit("")), F.coalesce("header", F.array().cast("array<string>"))
     flags = {
-        "t": template_flag(c("sample"), c("cand")), "p": public_doc_flag(c("rel_path"), c("sample"), c("cand")),
-        "r": reference_flag(c("rel_path"), F.coalesce("extractor", F.lit("")), F.coalesce("header", F.array().cast("array<string>")), c("sample"), c("cand")),
+        "t": template_flag(c("sample"), c("cand"), c("__t")), "p": public_doc_flag(c("rel_path"), c("sample"), c("cand"), c("__p")),
+        "r": reference_flag(c("rel_path"), extractor, header, c("sample"), c("cand"), c("__r")),
     }
     if not templates:
         flags["t"] = (F.lit(False), F.array().cast("array<string>"))
-    out = wide
+    out = wide.withColumns({"__t": template_marks(c("sample")), "__p": public_marks(c("rel_path"), c("sample")), "__r": reference_marks(extractor, c("sample"))})
     for name, (flag, why) in flags.items():
         out = out.withColumn(f"is_{name}", flag).withColumn(f"why_{name}", why)
     out = with_gate(out, c("format"))
@@ -258,5 +278,5 @@ def assess(wide: DataFrame, templates: bool = True) -> DataFrame:
         out.withColumn("kept", kept).withColumn("final", after_flags(c("kept"), c("is_t"), c("is_p"), c("is_r")))
         .withColumn("quality_reasons", F.concat("dropped", "why_t", "why_p", "why_r", said))
         .withColumnsRenamed({"is_t": "is_template", "is_p": "is_public_doc", "is_r": "is_reference_data"})
-        .drop("why_t", "why_p", "why_r", "gate", "kept")
+        .drop("why_t", "why_p", "why_r", "gate", "kept", "__t", "__p", "__r")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.functions import lexicons as L
-from vaultlens.functions.text import decoded_path, has_marker, marker_count
+from vaultlens.functions.text import any_of, decoded_path, has_marker, marks
 
 from . import dets as D
 
@@ -35,6 +35,14 @@ PRIVATE = ("personal_form", "internal_employee_doc", "correspondence", "image_of
 IMAGE_WORDS = tuple(m for m in L.IMAGE_DOC_MARKERS if m not in ("scan", "скан"))
 
 
+#: What signals look for in a file's path and sample.
+WORDS = {
+    "form": L.PERSONAL_FORM_MARKERS, "public": L.JUSTIFIED_PUBLIC_MARKERS, "contact": ("@", "телефон", "phone"),
+    "responsible": ("ответствен", "responsible", "directory"), "report": L.PUBLIC_REPORT_MARKERS, "image": IMAGE_WORDS, "org": L.ORG_SUFFIX_MARKERS,
+    "requisites": L.ORG_REQUISITE_MARKERS, "internal": L.INTERNAL_DOC_MARKERS, "correspondence": L.CORRESPONDENCE_MARKERS,
+}
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """When a family's volume is large."""
@@ -45,9 +53,8 @@ class Thresholds:
 
 def signals(wide: DataFrame) -> DataFrame:
     """wide (quality.assess's rows) with s, a struct of boolean signals."""
-    c = F.col
-    path, low = decoded_path(c("rel_path")), F.lower(c("sample"))
-    text = F.concat(path, F.lit("\n"), low)
+    c, said = F.col, F.col("__said")
+    path = decoded_path(c("rel_path"))
     names = F.transform(F.coalesce("header", F.array().cast("array<string>")), F.lower)
     heading = F.array_join(names, " ")
     cats, rows = D.categories(c("cand")), F.coalesce("rows_scanned", F.lit(0))
@@ -56,15 +63,14 @@ def signals(wide: DataFrame) -> DataFrame:
     trusted, payment = F.exists("cand", D.trusted), F.exists("cand", lambda x: (x["family"] == "payment") & D.valid(x))
     tabular = F.lower(F.coalesce("extractor", F.lit(""))).isin("csv", "json", "parquet", "xls")
     template = c("is_template")
-    form = ~template & has_marker(text, L.PERSONAL_FORM_MARKERS)
-    contact_words = F.contains(text, F.lit("@")) | has_marker(text, ("телефон", "phone"))
+    form = ~template & said["form"]
     contact = (
-        ~form & has_marker(text, L.JUSTIFIED_PUBLIC_MARKERS) & ((D.volume(c("cand"), "email", "phone") >= 1) | contact_words)
-        & (named | trusted | F.array_contains(cats, "address") | has_marker(text, ("ответствен", "responsible", "directory")))
+        ~form & said["public"] & ((D.volume(c("cand"), "email", "phone") >= 1) | said["contact"])
+        & (named | trusted | F.array_contains(cats, "address") | said["responsible"])
     )
-    report = ~form & has_marker(text, L.PUBLIC_REPORT_MARKERS)
+    report = ~form & said["report"]
     finance = D.has(cats, ("inn_legal_entity", "bank_account", "bik")) & ~D.has(cats, (*L.HARD_PERSONAL_CATEGORIES, "person_name", "birth_date", "birth_place"))
-    image = c("format").isin("image", "pdf") & (hard | special | has_marker(text, IMAGE_WORDS))
+    image = c("format").isin("image", "pdf") & (hard | special | said["image"])
     in_header = F.lit(0)
     for marker in L.PERSONAL_EXPORT_HEADER_MARKERS:
         in_header = in_header + F.contains(F.array_join(names, "\n"), F.lit(marker)).cast("int")
@@ -73,19 +79,20 @@ def signals(wide: DataFrame) -> DataFrame:
         | ((rows >= 200) & has_marker(heading, ("customer_name", "destination_address")))
     )
     company = (
-        tabular & ~hard & (has_marker(heading, L.COMPANY_EXPORT_MARKERS) | has_marker(path, L.COMPANY_EXPORT_MARKERS)) & has_marker(text, L.ORG_SUFFIX_MARKERS)
+        tabular & ~hard & (has_marker(heading, L.COMPANY_EXPORT_MARKERS) | has_marker(path, L.COMPANY_EXPORT_MARKERS)) & said["org"]
         & ~named & ((rows >= 20) | D.has(cats, ("email", "phone", "address")))
     )
     found = {
         "blank_template": template, "public_contact_doc": contact, "public_report": report | c("is_public_doc"), "own_report": report,
-        "org_requisites_doc": has_marker(text, L.ORG_REQUISITE_MARKERS) | finance, "personal_form": form,
-        "internal_employee_doc": has_marker(text, L.INTERNAL_DOC_MARKERS), "correspondence": has_marker(text, L.CORRESPONDENCE_MARKERS),
+        "org_requisites_doc": said["requisites"] | finance, "personal_form": form,
+        "internal_employee_doc": said["internal"], "correspondence": said["correspondence"],
         "image_of_personal_doc": image, "personal_export": export, "company_export": company, "hard": hard, "special": special, "payment": payment,
         "bundle": (hard | named) & companion, "rows": tabular & (rows >= 50) & (named | companion | hard), "reference": c("is_reference_data") & ~export,
         "nothing": F.size("cand") == 0, "untrusted": ~(trusted | hard | special | payment), "trusted": trusted, "companion": companion, "named": named,
         "tabular": tabular, "blocking": D.has(cats, L.PUBLIC_OVERRIDE_BLOCKERS),
     }
-    return wide.withColumn("s", F.struct(*(F.coalesce(v, F.lit(False)).alias(k) for k, v in found.items())))
+    looked = wide.withColumn("__said", marks([path, F.lower("sample")], {k: any_of(words) for k, words in WORDS.items()}))
+    return looked.withColumn("s", F.struct(*(F.coalesce(v, F.lit(False)).alias(k) for k, v in found.items()))).drop("__said")
 
 
 def points(s: Column, weights: dict[str, int]) -> Column:

@@ -20,7 +20,7 @@ FILES = "file_id string, rel_path string, format string, extractor string, heade
 def verdicts(files: DataFrame, chunks: DataFrame, settings: Settings | None = None, thresholds: Thresholds | None = None, templates: bool = True) -> DataFrame:
     """One row for each file: its detections, storage class, level and reasons, before the cross-file rules."""
     readable = files.where(~F.col("status").isin("error", "unsupported")).select("file_id")
-    found = detect(chunks.join(readable, "file_id", "left_semi"), settings)
+    found = detect(chunks, settings, readable)
     adjusted = quality.adjust(found, chunks, files)
     wide = quality.assess(quality.per_file(files, chunks, adjusted), templates)
     out = scoring.classify(scoring.decide(scoring.signals(wide)), thresholds)
