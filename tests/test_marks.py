@@ -2,13 +2,14 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vaultlens.functions import lexicons as L
 from vaultlens.functions.text import any_of, has_marker, marker_count, marks
 from vaultlens.operators import quality, scoring
-from vaultlens.operators.detect import find_hits
-from vaultlens.operators.spans import Settings
+from vaultlens.operators.detect import find_hits, gates, hits_in
+from vaultlens.operators.spans import DETECTORS, Settings
 from vaultlens.plans.scan import FILES, verdicts
 
 TWICE = ("a.b", "a.b", "(x|y)", "и т.д.", "no. 5", "[-]", "\\d", "@")
@@ -54,3 +55,13 @@ def test_unreadable_files_have_no_hits(spark):
     chunks = spark.createDataFrame([(k, 0, "write to a@b.org") for k in ("ok", "error", "unsupported")], "file_id string, raw_idx int, text string")
     got = {r["file_id"]: r["total_hits"] for r in verdicts(files, chunks).collect()}
     assert got == {"ok": 1, "error": 0, "unsupported": 0}
+
+
+def test_only_detectors_whose_gate_holds_look_at_a_text(spark):
+    texts = ["a@b.org", "7707083893 and a@b.org", "ПАСПОРТ 1234 567890", "ﬁ", "nothing", None]
+    may = dict(zip((d.find.__name__ for d in DETECTORS), (m.tolist() for m in gates(pa.array(texts), DETECTORS)), strict=True))
+    assert may["emails"] == [True, True, False, True, False, False]
+    assert may["tax_numbers"] == [False, True, False, True, False, False]
+    assert may["passports"] == [False, False, True, True, False, False]
+    chunks = spark.createDataFrame([(str(i), 0, t) for i, t in enumerate(texts)], "file_id string, norm_idx int, text string")
+    assert sorted((r["file_id"], r["category"]) for r in hits_in(chunks, Settings()).collect()) == [("0", "email"), ("1", "email"), ("1", "inn_legal_entity"), ("2", "passport_series_number")]

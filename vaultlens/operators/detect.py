@@ -41,38 +41,50 @@ UNSTABLE = (
 )
 
 
-def may_have(text: Column, detectors: list[Detector]) -> Column:
-    """Whether a detector could find anything in a text, by what the text must have for it; decided in Arrow batches, without Python strings.
+def gates(texts: pa.Array, detectors: list[Detector]) -> list[np.ndarray]:
+    """For each detector, in which texts it could find anything, by what a text must have for it.  No text becomes a Python string.
 
     Case is ignored: within the characters that gates hold for, that is to look at the text in lower case.
     """
+
+    def left(at: np.ndarray, pattern: str, ignore_case: bool = True) -> np.ndarray:
+        own = texts if len(at) == len(texts) else texts.take(pa.array(at))
+        found = pc.match_substring_regex(own, pattern, ignore_case=ignore_case)
+        return at[pc.fill_null(found, False).to_numpy(zero_copy_only=False)]
+
     # blanks may differ before normalising, so of an entry only its longest word counts
     longest = lambda entry: max(entry.split(), key=len)
-    # automata never go back, so nothing is possessive
-    needed = [[*([d.gate.pattern.replace("*+", "*")] if d.gate.pattern else []), *(any_of([*map(longest, g)]) for g in d.gate.groups)] for d in detectors]
-
-    def run(texts: pa.Array) -> pa.Array:
+    every = np.arange(len(texts))
+    loose, digits, out = left(every, UNSTABLE, False), left(every, r"\d"), []
+    for d in detectors:
+        # automata never go back, so nothing is possessive; where a pattern has a digit, all of its branches have
+        pattern = (d.gate.pattern or "").replace("*+", "*")
+        at = digits if r"\d" in pattern else every
+        for needed in [*([pattern] if pattern else []), *(any_of([*map(longest, g)]) for g in d.gate.groups)]:
+            at = left(at, needed)
         may = np.zeros(len(texts), dtype=bool)
-        for patterns, ignore_case in [([UNSTABLE], False), *((p, True) for p in needed)]:
-            at = np.flatnonzero(~may)
-            for pattern in patterns:
-                found = pc.fill_null(pc.match_substring_regex(texts.take(pa.array(at)), pattern, ignore_case=ignore_case), False)
-                at = at[found.to_numpy(zero_copy_only=False)]
-            may[at] = True
-        return pa.array(may)
+        may[at] = may[loose] = True
+        out.append(may)
+    return out
+
 
+def may_have(text: Column, detectors: list[Detector]) -> Column:
+    """Whether a detector could find anything in a text; decided in Arrow batches."""
+    run = lambda texts: pa.array(np.logical_or.reduce([np.zeros(len(texts), dtype=bool), *gates(texts, detectors)]))
     return F.arrow_udf(run, "boolean", F.ArrowUDFType.SCALAR)(text)
 
 
 def _found_in(chunks: DataFrame, settings: Settings, categories: tuple[str, ...] | None) -> DataFrame:
-    """Every hit of chunks(file_id, norm_idx, text) that passed the gate."""
+    """Every hit of chunks(file_id, norm_idx, text) that passed the gate, by the detectors whose own gate they pass."""
     detectors = wanted(settings, categories)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for file_id, index, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(file_id, index, *(h[name] for name, _ in HIT_FIELDS)) for h in hits_of(normal_text(text), index, settings, detectors)]
+            may = zip(*gates(batch.column(2), detectors), strict=True)
+            for file_id, index, text, own in zip(*(c.to_pylist() for c in batch.columns), may, strict=True):
+                hits = hits_of(normal_text(text), index, settings, [d for d, m in zip(detectors, own, strict=True) if m])
+                out += [(file_id, index, *(h[name] for name, _ in HIT_FIELDS)) for h in hits]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), HIT_SCHEMA.types, strict=True)], schema=HIT_SCHEMA)
 
